@@ -83,13 +83,22 @@ def search(tree: KDTree, ids: np.ndarray, qids: np.ndarray, queries: np.ndarray,
         for q in np.split(alive, np.flatnonzero(np.diff(node)) + 1) if len(alive) else []:
             s, e, _, _ = tree.nodes[leaf_nodes[rank[q[0], at[q[0]]]]]
             score = queries[q] @ tree.points[s:e].T
-            score = np.where(ids[None, s:e] == qids[q][:, None], -np.inf, score)
-            both_s = np.concatenate([best_s[q], score], 1)
-            both_i = np.concatenate([best_i[q], np.broadcast_to(ids[s:e], score.shape)], 1)
-            pick = np.lexsort((both_i, -both_s), axis=1)[:, :k]
-            best_s[q] = np.take_along_axis(both_s, pick, 1)
-            best_i[q] = np.take_along_axis(both_i, pick, 1)
-            kth[q] = np.maximum(kth[q], best_s[q][:, -1])
+            score[ids[None, s:e] == qids[q][:, None]] = -np.inf
+            # only what reaches a query's kth score is merged with its best so far
+            new_q, new_p = np.nonzero((score >= kth[q][:, None]) & np.isfinite(score))
+            if not len(new_q):
+                continue
+            hit = np.unique(new_q)
+            width = np.bincount(new_q, minlength=len(q))[hit]
+            own_q = np.concatenate([np.repeat(np.arange(len(hit)), k), np.repeat(np.arange(len(hit)), width)])
+            own_s = np.concatenate([best_s[q[hit]].ravel(), score[new_q, new_p]])
+            own_i = np.concatenate([best_i[q[hit]].ravel(), ids[s:e][new_p]])
+            order = np.lexsort((own_i, -own_s, own_q))
+            first = np.cumsum(width + k) - width - k
+            pick = order[(first[:, None] + np.arange(k)).ravel()]
+            best_s[q[hit]] = own_s[pick].reshape(-1, k)
+            best_i[q[hit]] = own_i[pick].reshape(-1, k)
+            kth[q[hit]] = np.maximum(kth[q[hit]], best_s[q[hit]][:, -1])
         at[alive] += 1
         alive = alive[at[alive] < len(leaf_nodes)]
     for q in range(n):
