@@ -1 +1 @@
-
+"""Extras on streams: windowed label-grid counts."""
