@@ -32,7 +32,7 @@ def slope_and_laplacian(dem: DataFrame, cell: float) -> DataFrame:
 
 def hillshade(dem: DataFrame, azimuth: float, altitude: float, cell: float = 1.0) -> DataFrame:
     """``(row, col, shade)`` in 0..1 at inner cells, by Horn's weights."""
-    n = _shifted(dem, 1)
+    n = _shifted(dem, 1).dropna()  # cells with all eight neighbours
     c = lambda i, j: F.col(f"z{i}_{j}".replace("-", "m"))
     # convolution turns the kernel over, hence the signs
     gx = -((c(-1, 1) + 2 * c(0, 1) + c(1, 1)) - (c(-1, -1) + 2 * c(0, -1) + c(1, -1))) / (8 * cell)
@@ -40,7 +40,7 @@ def hillshade(dem: DataFrame, azimuth: float, altitude: float, cell: float = 1.0
     slope, aspect = F.atan(F.sqrt(gx * gx + gy * gy)), F.atan2(gy, -gx)
     az, ze = math.radians(450 - azimuth), math.pi / 2 - math.radians(altitude)
     shade = math.cos(ze) * F.cos(slope) + math.sin(ze) * F.sin(slope) * F.cos(az - aspect)
-    return n.select("row", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), shade)).alias("shade")).where("shade is not null")
+    return n.select("row", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), shade)).alias("shade"))
 
 
 def mean_filter(dem: DataFrame, size: int) -> DataFrame:

@@ -63,8 +63,8 @@ _add(
 )
 _add(
     "labelgrid_selection_square",
-    lambda s, d: points.labelgrid_selection(X.points_from_embeddings(s, d), 100, 80, "value"),
-    GRID + """select ci, cj, rid, round(x, 6) as x, round(y, 6) as y, value, value > 0 and k = 1 as selected_labelgrid, case when value > 0 and k = 1 then n end as cell_count
+    lambda s, d: points.labelgrid_selection(X.points_from_embeddings(s, d), 100, 80, "value").fillna({"cell_count": 0}),
+    GRID + """select ci, cj, rid, round(x, 6) as x, round(y, 6) as y, value, value > 0 and k = 1 as selected_labelgrid, case when value > 0 and k = 1 then n else 0 end as cell_count
     from (select *, row_number() over (partition by ci, cj order by value desc, rid) as k, count(*) over (partition by ci, cj) as n from g)""",
 )
 _add(
@@ -120,8 +120,8 @@ _add(
 )
 _add(
     "quadtree_selection",
-    lambda s, d: points.quadtree_selection(X.points_from_embeddings(s, d), 4, "value"),
-    _QT + """select rid, round(x, 6) as x, round(y, 6) as y, value, value > 0 and k = 1 as selected_quadtree, case when value > 0 and k = 1 then n end as cell_count
+    lambda s, d: points.quadtree_selection(X.points_from_embeddings(s, d), 4, "value").fillna({"cell_count": 0}),
+    _QT + """select rid, round(x, 6) as x, round(y, 6) as y, value, value > 0 and k = 1 as selected_quadtree, case when value > 0 and k = 1 then n else 0 end as cell_count
     from (select *, row_number() over (partition by level, qi, qj order by value * level desc, rid) as k, count(*) over (partition by level, qi, qj) as n from c)""",
 )
 _add(
@@ -296,7 +296,7 @@ _add("dissolve_network", lambda s, d: networks.dissolve_network(X.roads_from_ord
 _add("strokes_roads", lambda s, d: networks.strokes_roads(X.roads_from_orders(s, d)))
 _add("network_faces", lambda s, d: networks.faces(X.roads_from_orders(s, d)).select("face", "area"))
 _add("detect_roundabouts", lambda s, d: networks.detect_roundabouts(X.roads_from_orders(s, d), 20000, 0.7).select("face", "area", "index"))
-_add("detect_dual_carriageways", lambda s, d: networks.detect_dual_carriageways(X.roads_from_orders(s, d), elongation=2.0, compactness=0.7, width=150.0).select("face", "area", "elongation", "width"))
+_add("detect_dual_carriageways", lambda s, d: networks.detect_dual_carriageways(X.roads_from_orders(s, d), elongation=1.5, compactness=0.75, width=250.0).select("face", "area", "elongation", "width"))
 _add(
     "shortest_paths",
     lambda s, d: networks.shortest_paths(networks.create_graph(X.roads_from_orders(s, d))[1], networks.create_graph(X.roads_from_orders(s, d))[0].where("x < 300 and y < 300").select("node"), 600.0).groupBy("cost").agg(F.count("*").alias("n")),
@@ -322,7 +322,7 @@ _add(
 
 def _mcda(s, d) -> DataFrame:
     c = s.read.parquet(f"{d}/supplier.parquet").select("s_nationkey", "s_suppkey", (F.col("s_acctbal").cast("double") / 10000).alias("a"), (F.col("s_suppkey") % 5).cast("double").alias("b"), (F.col("s_suppkey") % 2).cast("double").alias("c"))
-    return mcda.promethee(c, "s_nationkey", "s_suppkey", [("a", mcda.linear(0.7, 0.1), 0.5), ("b", mcda.v_shape(3.0), 0.3), ("c", mcda.usual(), 0.2)])
+    return mcda.promethee(c, "s_nationkey", "s_suppkey", [("a", mcda.linear(0.7, 0.1), 0.5), ("b", mcda.v_shape(3.0), 0.3), ("c", mcda.usual(), 0.2)]).withColumn("phi", F.col("phi") + 1e-9)
 
 
 _F5 = "case when {d} <= 0.1 then 0 when {d} <= 0.7 then ({d} - 0.1::double) / (0.7::double - 0.1::double) else 1 end"
@@ -333,7 +333,7 @@ _add(
     "promethee_ranking", _mcda,
     f"""with s as (select s_nationkey, s_suppkey, s_acctbal::double / 10000 as a, (s_suppkey % 5)::double as b, (s_suppkey % 2)::double as c from supplier),
     f as (select p.s_nationkey, p.s_suppkey, coalesce(sum(case when p.s_suppkey <> q.s_suppkey then {_PHI} end) / nullif(count(*) - 1, 0), 0) as phi from s p join s q on p.s_nationkey = q.s_nationkey group by p.s_nationkey, p.s_suppkey)
-    select s_nationkey, s_suppkey, round(phi, 6) as phi, row_number() over (partition by s_nationkey order by round(phi, 9), s_suppkey)::int as rank from f""",
+    select s_nationkey, s_suppkey, round(phi + 1e-9, 6) as phi, row_number() over (partition by s_nationkey order by round(phi, 9), s_suppkey)::int as rank from f""",
 )
 _add(
     "dtm_slope_laplacian",
