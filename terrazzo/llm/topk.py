@@ -172,7 +172,9 @@ def top_k(
     shards = max(1, -(-n // shard_rows))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     points = clean.select("vec_id", "v", F.size("v").alias("dim"), home.alias("shard"))
+    # a table of its own, as a cogroup can't tell two plans of one table apart
     ask = clean.where("q").select("vec_id", "v", F.size("v").alias("dim"), home.alias("home")).dropDuplicates(["vec_id", "v"])
+    ask = materialize(ask, "queries")
     run = _searcher(k, 1024)
 
     def waves(queries: DataFrame) -> DataFrame:
