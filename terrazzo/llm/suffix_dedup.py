@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.plans.durable import broadcast_if_small, materialize
+from terrazzo.plans.durable import materialize
 
 from .common import U64, _BYTE_VALUE, _powers, chunks, mix, small_batches, text_bytes
 
@@ -257,12 +257,12 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
     spans = again.select("d", "t", F.shiftright("place", 24).alias("lo"), F.expr(f"shiftright(place, 24) + (shiftright(place, 12) & 4095) + {length}").alias("hi"))
     edges = counts.where("mixed").groupBy("rep.d", "rep.t").agg(F.collect_list(F.struct("rep.place", (F.col("n") == 1).alias("single"))).alias("edges"))
     edges = materialize(edges, "edges")
-    stretches = rows.join(broadcast_if_small(edges, 200_000), ["d", "t"]).select("d", "t", "text", "edges").mapInArrow(
+    stretches = rows.join(edges, ["d", "t"]).select("d", "t", "text", "edges").mapInArrow(
         _cutter(length), "lead binary, body binary, d long, t long, place long, single boolean"
     )
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = stretches.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_bucket(length), "d long, t long, lo long, hi long")
     marks = spans.union(found).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     marks = materialize(marks, "marks")
-    done = rows.join(broadcast_if_small(marks, 50_000), ["d", "t"], "left").select("doc_id", "text", "marks")
+    done = rows.join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
     return done.mapInArrow(_assemble(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
