@@ -188,3 +188,19 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
     """Whether a ring holds a point (even-odd rule; points on the boundary are undefined)."""
     hits = _steps(ring, lambda a, b: F.when((a.y > y) != (b.y > y), F.when(x < (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x, 1.0).otherwise(0.0)).otherwise(0.0))
     return hits % 2 == 1
+
+
+def circle_arc(a: Column, b: Column, c: Column, rotation: str = "cw", quad_segs: int = 8) -> Column:
+    """Vertices from ``b`` to ``c`` around ``a``, both included: ``floor(angle / (pi / 2) * quad_segs) + 2`` of them.
+
+    The radius is that of ``b``.  Null where ``b`` and ``c`` aren't at one distance (to 1e-6 of it) from ``a``.
+    """
+    r, r2 = F.hypot(b.x - a.x, b.y - a.y), F.hypot(c.x - a.x, c.y - a.y)
+    start, end = F.atan2(b.y - a.y, b.x - a.x), F.atan2(c.y - a.y, c.x - a.x)
+    sign = -1.0 if rotation == "cw" else 1.0
+    turn = F.pmod((end - start) * sign, 2 * F.pi())
+    n = F.floor(turn / (F.pi() / 2) * quad_segs).cast("int") + 2
+    at = lambda k: start + sign * turn * k / (n - 1)
+    inner = F.transform(F.sequence(F.lit(0), n - 1), lambda k: point(a.x + r * F.cos(at(k)), a.y + r * F.sin(at(k))))
+    inner = F.concat(F.array(point(b.x, b.y)), F.slice(inner, F.lit(2), n - 2), F.array(point(c.x, c.y)))
+    return F.when(F.abs(r - r2) <= r * 1e-6, inner)

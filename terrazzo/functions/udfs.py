@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import building_kernels as BK
 from . import kernels as K
 from .geometry import LINE_DDL
 
@@ -20,10 +21,12 @@ LINE_FUNCTIONS: dict[str, Callable] = {
     "smooth_taubin": K.taubin, "smooth_chaikin": K.chaikin, "smooth_catmull_rom": K.catmull_rom, "smooth_platre": K.platre, "smooth_snake": K.snake,
     "smooth_topographic": K.topographic, "resample_line": K.resample, "remove_flat_vertices": K.remove_flat_vertices, "convex_hull": K.convex_hull,
     "enclosing_rectangle": K.enclosing_rectangle, "regularize_building_rectangle": K.regularize_rectangle, "square_polygon_naive": K.square_naive, "enlarge_polygon": K.enlarge,
+    "square_polygon_orthogonal": BK.square_orthogonal, "square_polygon_ls": BK.square_least_squares, "accordion": K.accordion,
 }
 #: Ring to number.
 MEASURES: dict[str, Callable] = {
     "polygon_compactness": K.compactness, "polygon_concavity": K.concavity, "polygon_elongation": K.elongation, "polygon_orientation": K.orientation,
+    "building_min_width": BK.min_width,
 }
 
 
@@ -56,13 +59,37 @@ def measure(name: str, **how) -> Callable[[Column], Column]:
     return F.pandas_udf(run, "double")
 
 
+def surfacic_distance() -> Callable[[Column, Column], Column]:
+    """1 - intersection / union of two ring columns; null where either is null or has under four vertices."""
+
+    def run(p: pd.Series, q: pd.Series) -> pd.Series:
+        ok = lambda r: r is not None and len(r) > 3
+        return pd.Series([BK.surfacic_distance(_vertices(a), _vertices(b)) if ok(a) and ok(b) else None for a, b in zip(p, q, strict=True)], dtype=float)
+
+    run.__annotations__ = {"p": pd.Series, "q": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")
+
+
+def bend_measures() -> Callable[[Column], Column]:
+    """The bends of a line column, as an array of structs."""
+    names = ("first", "width", "height", "length", "symmetry", "shape", "size")
+
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: [] if x is None or len(x) < 2 else [dict(zip(names, b, strict=True)) for b in K.bend_measures(_vertices(x))])
+
+    run.__annotations__ = {"lines": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<first:int,width:double,height:double,length:double,symmetry:double,shape:double,size:double>>")
+
+
 def register_all(spark: SparkSession) -> None:
     """Register every kernel that needs no parameter, and those with one number, as SQL functions."""
     for name in MEASURES:
         spark.udf.register(name, measure(name))
+    spark.udf.register("surfacic_distance", surfacic_distance())
+    spark.udf.register("bend_measures", bend_measures())
     defaults = {
         "simplify_douglas_peucker": "threshold", "simplify_visvalingam_whyatt": "threshold", "simplify_li_openshaw": "cell", "simplify_lang": "tolerance",
-        "simplify_reumann_witkam": "tolerance", "simplify_whirlpool": "threshold", "simplify_wang_muller": "tolerance", "resample_line": "step", "enlarge_polygon": "goal",
+        "simplify_reumann_witkam": "tolerance", "simplify_whirlpool": "threshold", "simplify_wang_muller": "tolerance", "resample_line": "step", "enlarge_polygon": "goal", "accordion": "width",
     }
     for name, f in LINE_FUNCTIONS.items():
         if name in defaults:

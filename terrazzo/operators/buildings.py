@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,19 @@ def typification_grid(buildings: DataFrame, ratio: float, cell: float = 500.0) -
     n = c.groupBy("ci", "cj").agg(F.greatest(F.lit(1), F.bround(F.count("*") * ratio).cast("int")).alias("target"))
     r = F.row_number().over(W.partitionBy("ci", "cj").orderBy(F.desc("area"), "rid"))
     return c.withColumn("r", r).join(n, ["ci", "cj"]).select("rid", "ci", "cj", (F.col("r") <= F.col("target")).alias("keep"))
+
+
+def building_congestion(edges: DataFrame, max_distance: float, orientations: int = 16) -> DataFrame:
+    """``(rid, congestion, n_building_edges)`` from proximity edges ``(rid, x1, y1, x2, y2, to_building)``.
+
+    An edge's congestion ``1 - length / max_distance`` counts for directions up to 45 degrees from its own (folded to
+    0..180 degrees), linearly less; a direction takes the largest.  Longer edges don't count.
+    """
+    step = 2 * math.pi / orientations
+    e = edges.withColumn("size", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where(F.col("size") <= max_distance)
+    a = F.pmod(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")), F.pi())
+    e = e.withColumn("c", 1 - F.col("size") / max_distance).withColumn("a", a)
+    part = lambda i: F.greatest(F.lit(0.0), F.col("c") * (1 - 4 * F.abs(F.col("a") - i * step) / math.pi))
+    each = [F.max(part(i)).alias(f"d{i}") for i in range(orientations)]
+    out = e.groupBy("rid").agg(*each, F.count(F.when(F.col("to_building"), 1)).alias("n_building_edges"))
+    return out.select("rid", F.array(*[f"d{i}" for i in range(orientations)]).alias("congestion"), "n_building_edges")

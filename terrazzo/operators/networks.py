@@ -222,3 +222,76 @@ def detect_dual_carriageways(
     half = F.col("perimeter") / 4
     f = f.withColumn("width", half - F.sqrt(F.greatest(F.lit(0.0), half * half - F.col("area"))))
     return f.where((F.col("concavity") > concavity) & (F.col("elongation") > elongation) & (F.col("width") < width))
+
+
+def make_planar(lines: DataFrame, cell: float, digits: int = 6) -> DataFrame:
+    """``lines`` cut wherever they cross, touch or overlap: a row for each piece, with ``planar_id`` from 0 within a line.
+
+    Other columns are repeated.  Of pieces lying on one another that of the smallest ``rid`` stays.  Segments meet in
+    square cells of side ``cell``, so choose it near their usual length.  Positions are rounded to ``digits`` decimals.
+    """
+    xy = lambda p: F.struct(F.round(p.x, digits).alias("x"), F.round(p.y, digits).alias("y"))
+    flat = lines.where("geom is not null and size(geom) > 1").select("rid", F.transform("geom", xy).alias("geom"))
+    seg = flat.select("rid", F.posexplode(G.segments(F.col("geom"))).alias("seg", "s")).select(
+        "rid", "seg", "s.x1", "s.y1", "s.x2", "s.y2"
+    ).where("x1 <> x2 or y1 <> y2")
+    seg = materialize(seg, "segments")
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    binned = seg.select("*", span(F.col("x1"), F.col("x2")).alias("cx")).select("*", span(F.col("y1"), F.col("y2")).alias("cy"))
+    other = binned.select("cx", "cy", *[F.col(c).alias("o_" + c) for c in seg.columns])
+    pair = binned.join(other, ["cx", "cy"]).where("rid <> o_rid or seg <> o_seg")
+    rx, ry = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sx, sy = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
+    wx, wy = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
+    den, long2 = rx * sy - ry * sx, rx * rx + ry * ry
+    slack = 10.0**-digits
+    t, u = (wx * sy - wy * sx) / den, (wx * ry - wy * rx) / den
+    hit = F.when((F.abs(den) > 1e-12) & t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9), t)
+    on = lambda ax, ay: F.when(F.abs(ax * ry - ay * rx) <= slack * F.sqrt(long2), (ax * rx + ay * ry) / long2)
+    # where a segment's neighbour in its own line begins is no crossing
+    own = (F.col("rid") == F.col("o_rid")) & (F.abs(F.col("seg") - F.col("o_seg")) == 1)
+    cuts = pair.where(~own).select("rid", "seg", "x1", "y1", "x2", "y2", F.explode(F.array(hit, on(wx, wy), on(wx + sx, wy + sy))).alias("t"))
+    cuts = cuts.where("t >= -1e-9 and t <= 1 + 1e-9").select(
+        "rid", "seg", F.round(F.col("x1") + F.col("t") * rx, digits).alias("x"), F.round(F.col("y1") + F.col("t") * ry, digits).alias("y"),
+        F.hypot(F.round(F.col("x1") + F.col("t") * rx, digits) - F.col("x1"), F.round(F.col("y1") + F.col("t") * ry, digits) - F.col("y1")).alias("d"),
+        ((F.round(F.col("x1") + F.col("t") * rx, digits) == F.col("x2")) & (F.round(F.col("y1") + F.col("t") * ry, digits) == F.col("y2"))).alias("end"),
+    )
+    cuts = cuts.select("rid", (F.col("seg") + F.col("end").cast("int")).alias("seg"), F.when(F.col("end"), 0.0).otherwise(F.col("d")).alias("d"), "x", "y", F.lit(True).alias("node"))
+    own_vertices = flat.select("rid", F.posexplode("geom").alias("seg", "p")).select("rid", "seg", F.lit(0.0).alias("d"), "p.x", "p.y", F.lit(False).alias("node"))
+    dots = cuts.union(own_vertices).groupBy("rid", "seg", "x", "y").agg(F.min("d").alias("d"), F.max("node").alias("node"))
+    line = W.partitionBy("rid").orderBy("seg", "d")
+    before = F.coalesce(F.sum(F.col("node").cast("long")).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dots = dots.withColumn("piece", before).withColumn("piece", F.explode(F.when(F.col("node"), F.array("piece", F.col("piece") + 1)).otherwise(F.array("piece"))))
+    piece = dots.groupBy("rid", "piece").agg(F.sort_array(F.collect_list(F.struct("seg", "d", "x", "y"))).alias("v")).where("size(v) > 1")
+    piece = piece.select("rid", "piece", F.transform("v", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("geom"))
+    either = F.least(F.col("geom"), F.reverse("geom"))
+    kept = piece.withColumn("k", F.row_number().over(W.partitionBy(either).orderBy("rid", "piece"))).where("k = 1")
+    kept = kept.withColumn("planar_id", F.row_number().over(W.partitionBy("rid").orderBy("piece")) - 1)
+    return lines.drop("geom").join(kept.select("rid", "planar_id", "geom"), "rid")
+
+
+def collapse_roundabouts(lines: DataFrame, roundabouts: DataFrame, max_radius: float | None = None, digits: int = 6) -> DataFrame:
+    """``lines`` with each roundabout ``(face, geom)`` drawn to its centroid.
+
+    Lines all of whose vertices are the ring's go.  A line with an end on the ring is led on to the centroid; of several
+    at one vertex, only that of the smallest ``rid``, since they still meet there.  With ``max_radius``, rings whose
+    nearest vertex is that far from the centroid, or farther, are left alone.
+    """
+    at = lambda p: (F.round(p.x, digits).alias("vx"), F.round(p.y, digits).alias("vy"))
+    ring = roundabouts.select("face", G.centroid(F.col("geom")).alias("c"), "geom").where("c is not null")
+    if max_radius is not None:
+        near = F.array_min(F.transform("geom", lambda p: F.hypot(p.x - F.col("c").x, p.y - F.col("c").y)))
+        ring = ring.where(near < max_radius)
+    ring = ring.select("face", "c", F.explode("geom").alias("p")).select("face", "c", *at(F.col("p"))).distinct()
+    dots = lines.select("rid", (F.size("geom") - 1).alias("last"), F.posexplode("geom").alias("pos", "p")).select("rid", "last", "pos", *at(F.col("p")))
+    on = materialize(dots.join(ring, ["vx", "vy"]), "on_ring")
+    gone = on.groupBy("rid", "face").agg(F.countDistinct("pos").alias("n"), F.max("last").alias("last")).where("n > last").select("rid").distinct()
+    gone = materialize(gone, "gone")
+    ends = on.where("pos = 0 or pos = last").join(gone, "rid", "left_anti")
+    first = ends.withColumn("k", F.row_number().over(W.partitionBy("face", "vx", "vy").orderBy("rid", "pos"))).where("k = 1")
+    led = first.groupBy("rid").agg(F.min(F.when(F.col("pos") == 0, F.struct("face", "c"))).alias("__s"), F.min(F.when(F.col("pos") > 0, F.struct("face", "c"))).alias("__e"))
+    out = lines.join(gone, "rid", "left_anti").join(led, "rid", "left")
+    none = F.slice("geom", 1, 0)
+    head = F.when(F.col("__s").isNotNull(), F.array(F.col("__s.c"))).otherwise(none)
+    tail = F.when(F.col("__e").isNotNull(), F.array(F.col("__e.c"))).otherwise(none)
+    return out.withColumn("geom", F.concat(head, F.col("geom"), tail)).drop("__s", "__e")

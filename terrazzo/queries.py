@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as G
-from terrazzo.functions.udfs import line_function, measure
+from terrazzo.functions.udfs import bend_measures, line_function, measure, surfacic_distance
 from terrazzo.operators import buildings as B
-from terrazzo.operators import mcda, networks, partition, points, terrain
+from terrazzo.operators import mcda, networks, partition, points, propagation, terrain
 from terrazzo.plans import components, spatial
 from terrazzo.sources import fixtures as X
 
@@ -355,3 +355,112 @@ _add(
     f"with g as ({DTM}), a as (select row, col, avg(z) over (partition by col order by row rows between 1 preceding and 1 following) as z from g) select row, col, round(avg(z) over (partition by row order by col rows between 1 preceding and 1 following), 6) as z from a",
 )
 _add("dtm_sculpt", lambda s, d: terrain.sculpt(X.dtm(s), 5, 3))
+
+# --- squaring, widths and overlays ---------------------------------------------------------------------------------------
+
+for _n in ("square_polygon_orthogonal", "square_polygon_ls"):
+    _add(_n, lambda s, d, n=_n: _vertices(X.buildings_from_parts(s, d).withColumn("geom", line_function(n)("geom"))))
+_add("building_min_width", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("building_min_width")("geom").alias("min_width")))
+_add(
+    "surfacic_distance_shifted",
+    lambda s, d: X.buildings_from_parts(s, d).select(
+        "rid", surfacic_distance()("geom", F.transform("geom", lambda p: G.point(p.x + 2, p.y + 1))).alias("distance")
+    ),
+    f"""with b as ({BLD}), part_of as (
+      select rid, w, h, ell, 0.0::double as x1, w as x2, 0.0::double as y1, case when ell then h / 2.0 else h end::double as y2 from b
+      union all select rid, w, h, ell, 0, w / 2, h / 2.0, h from b where ell
+    ), i as (
+      select p.rid, first(p.w * p.h * case when p.ell then 0.75 else 1 end) as a,
+        sum(greatest(0, least(p.x2, q.x2 + 2) - greatest(p.x1, q.x1 + 2)) * greatest(0, least(p.y2, q.y2 + 1) - greatest(p.y1, q.y1 + 1))) as common
+      from part_of p join part_of q on p.rid = q.rid group by p.rid)
+    select rid, round(1 - common / (2 * a - common), 6) as distance from i""",
+)
+
+
+def _proximity(s, d) -> DataFrame:
+    b = X.buildings_from_parts(s, d).select("rid", F.element_at("geom", 1).alias("p")).select("rid", "p.x", "p.y")
+    e = spatial.self_pairs(b, 45.0)
+    e = e.select(F.col("l_rid").alias("rid"), F.col("r_rid").alias("other")).union(e.select("r_rid", "l_rid"))
+    e = e.join(b.withColumnsRenamed({"x": "x1", "y": "y1"}), "rid").join(b.select(F.col("rid").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")), "other")
+    return e.withColumn("to_building", F.lit(True))
+
+
+_add(
+    "building_congestion",
+    lambda s, d: B.building_congestion(_proximity(s, d), 45.0).select("rid", "n_building_edges", F.posexplode("congestion").alias("direction", "congestion")),
+    f"""with b as (select rid, (rid % 50) * 40.0::double - w / 2 as x, (rid // 50) * 40.0::double - h / 2.0::double as y from ({BLD})),
+    e as (select p.rid, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as size, atan2(q.y - p.y, q.x - p.x) as a0 from b p join b q on p.rid <> q.rid),
+    f as (select rid, 1 - size / 45 as c, case when a0 < 0 then a0 + pi() when a0 >= pi() then a0 - pi() else a0 end as a from e where size <= 45)
+    select rid, i.i::int as direction, round(max(greatest(0, c * (1 - 4 * abs(a - i.i * pi() / 8) / pi()))), 6) as congestion, count(*) as n_building_edges from f, range(16) i(i) group by rid, i.i""",
+)
+
+# --- bends and arcs --------------------------------------------------------------------------------------------------------
+
+_add("accordion", lambda s, d: _vertices(X.lines_from_orders(s, d).withColumn("geom", line_function("accordion", width=5.0)("geom"))))
+_add("bend_measures", lambda s, d: X.lines_from_orders(s, d).select("rid", F.inline(bend_measures()("geom"))))
+
+
+def _arcs(s, d) -> DataFrame:
+    p = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rid"), F.radians(F.col("p_partkey") % 360).alias("t"), (F.col("p_size") + 1.0).alias("r"))
+    at = lambda t: G.point(F.col("r") * F.cos(t), F.col("r") * F.sin(t))
+    zero = G.point(F.lit(0.0), F.lit(0.0))
+    return p.select("rid", G.circle_arc(zero, at(F.col("t")), at(F.col("t") + 2), "ccw", 8).alias("geom"))
+
+
+_add(
+    "circle_interpolation",
+    lambda s, d: _vertices(_arcs(s, d)),
+    """with p as (select p_partkey as rid, radians(p_partkey % 360) as t, p_size + 1.0::double as r from part)
+    select rid, k.k::int as pos, round(r * cos(t + 2 * k.k / 11.0::double), 6) as x, round(r * sin(t + 2 * k.k / 11.0::double), 6) as y from p, range(12) k(k)""",
+)
+
+# --- propagation -------------------------------------------------------------------------------------------------------------
+
+
+def _moves(s, d) -> DataFrame:
+    return X.roads_from_orders(s, d).select("rid", F.col("geom").alias("before"), F.transform("geom", lambda p, i: G.point(p.x + 10, p.y + 20 * (i + 1))).alias("after"))
+
+
+_add(
+    "interpolate_displacement_vectors",
+    lambda s, d: propagation.interpolate_displacement_vectors(_moves(s, d), 30.0),
+    f"""select rid, k.k::int as k, round(x1 + (x2 - x1) * k.k / 3, 6) as x, round(y1 + (y2 - y1) * k.k / 3, 6) as y, 10.0::double as dx, round(20 + 20 * k.k / 3.0::double, 6) as dy
+    from ({ROADS}), range(4) k(k)""",
+)
+
+
+def _crow_flies(s, d) -> DataFrame:
+    line = lambda *xy: F.array(*[G.point(F.lit(float(a)), F.lit(float(b))) for a, b in xy])
+    move = s.range(1).select(F.col("id").alias("rid"), line((510, 505), (910, 505)).alias("before"), line((510, 535), (910, 545)).alias("after"))
+    return _vertices(propagation.propagation_crow_flies(X.roads_from_orders(s, d), move, 250.0, 20.0))
+
+
+_add(
+    "propagation_crow_flies", _crow_flies,
+    f"""with l as ({ROADS}), len as (select sqrt(400.0 * 400 + 10 * 10)::double as n), v as (select 510 + 20.0::double * k.k as vx, 505.0::double as vy, 30 + 10 * k.k / 20.0::double as dy from range(21) k(k)),
+    p as (select rid, 0 as pos, x1 as x, y1 as y from l union all select rid, 1, x2, y2 from l),
+    m as (select rid, pos, sum(dy * (1 - q / 44100) / q) / sum(1 / q) as my from (select p.*, dy, (x - vx) * (x - vx) + (y - vy) * (y - vy) as q from p, v) where q <= 44100 group by rid, pos)
+    select p.rid, p.pos, round(p.x, 6) as x, round(p.y + coalesce(my, 0), 6) as y from p left join m using (rid, pos)""",
+)
+
+
+def _network_move(s, d) -> DataFrame:
+    roads = X.roads_from_orders(s, d)
+    first = roads.agg(F.min("rid").alias("rid"))
+    move = roads.join(F.broadcast(first), "rid").withColumn("geom", F.transform("geom", lambda p: G.point(p.x + 8, p.y + 6)))
+    return _vertices(propagation.propagation_network(roads, move, reach=350.0, damping=0.5))
+
+
+_add("propagation_network", _network_move)
+
+# --- planar networks and roundabouts -----------------------------------------------------------------------------------------
+
+_add("make_planar", lambda s, d: networks.make_planar(X.crossing_streets(s, d), 100.0).select("rid", "planar_id", F.posexplode("geom").alias("pos", "p")).select("rid", "planar_id", "pos", "p.x", "p.y"))
+
+
+def _collapsed(s, d) -> DataFrame:
+    roads = X.ring_roads(s, d)
+    return _vertices(networks.collapse_roundabouts(roads, networks.detect_roundabouts(roads)))
+
+
+_add("collapse_roundabouts", _collapsed)

@@ -54,3 +54,21 @@ def rivers_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dtm(spark: SparkSession, n: int = 64) -> DataFrame:
     g = spark.range(n * n).select(F.expr(f"id div {n}").alias("row"), (F.col("id") % n).alias("col"))
     return g.withColumn("z", 100.0 + (F.col("row") * F.col("row")) % 37 + (F.col("col") * 3) % 29 + 0.5 * F.col("row"))
+
+
+def ring_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular 24-gons, an edge a line, with four spokes outwards; for every 40th part, 500 apart."""
+    k = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).where("k % 40 = 0")
+    k = k.select("k", (10.0 + F.col("k") % 30).alias("r"), (F.floor(F.col("k") / 40) * 500.0).alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(27))).alias("i"))
+    at = lambda i, r: point(F.col("cx") + r * F.cos(i * F.pi() / 12), r * F.sin(i * F.pi() / 12))
+    edge = F.array(at(F.col("i"), F.col("r")), at((F.col("i") + 1) % 24, F.col("r")))
+    spoke = F.array(at((F.col("i") - 24) * 6, F.col("r")), at((F.col("i") - 24) * 6, F.col("r") + 50))
+    return k.select((F.col("k") * 100 + F.col("i")).cast("long").alias("rid"), F.when(F.col("i") < 24, edge).otherwise(spoke).alias("geom"))
+
+
+def crossing_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and upright lines 200 long, that cross, touch and overlap, from customers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rid"))
+    x, y = (F.col("rid") % 29) * 40.0, (F.floor(F.col("rid") / 29) % 31) * 40.0
+    end = F.when(F.col("rid") % 2 == 0, point(x + 200, y)).otherwise(point(x, y + 200))
+    return c.select("rid", F.array(point(x, y), end).alias("geom"))

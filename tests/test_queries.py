@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "labelgrid_aggregation_square", "labelgrid_selection_square", "labelgrid_aggregation_hexagonal", "heatmap_quartic", "quadtree_aggregation", "partition_grid", "line_length",
     "smooth_wma", "simplify_whirlpool", "simplify_li_openshaw", "polygon_compactness", "building_granularity_constraint", "dwithin_self_join", "graph_nodes_degree",
-    "attributes_from_longest", "promethee_ranking", "dtm_hillshade",
+    "attributes_from_longest", "promethee_ranking", "dtm_hillshade", "surfacic_distance_shifted", "building_congestion", "circle_interpolation",
+    "interpolate_displacement_vectors", "propagation_crow_flies",
 ]
 
 
