@@ -5,12 +5,15 @@ Sets of similar size share a *scheme*: tokens are hashed into ``m`` segments.  T
 ``q`` segments their one-deletion neighbourhoods, which count double in the pigeonhole and so save segments.  The
 split between the two is chosen per scheme by cost, from the number of sets in the corpus.
 
-Keys only propose candidates.  Members of a candidate group are then compared exactly, with a bitmap bound first.
+Keys only propose candidates.  Passages that many texts share make chance candidates, which chain into large groups;
+so a group is first split by parity bitmaps, which bound the tokens in which two sets differ from below.  Only what
+is left together is compared exactly, on whole token sets.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,8 @@ from .common import U64, chunks, mix, shingles, small_batches, text_bytes, word_
 #: Sets compared at once; larger candidate groups are split into pairs of blocks.
 BLOCK = 4096
 _K = mix(np.arange(21, 27, dtype=np.uint64)) | U64(1)
+#: A set is one node in each scheme it takes part in: its fingerprint xor the scheme's constant.
+_NODE = mix(np.arange(1001, 1129, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
@@ -120,20 +125,68 @@ def signature(row: np.ndarray, token: np.ndarray, scheme_of: np.ndarray, schemes
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def bitmaps(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity of the tokens in each slot of a bitmap: a power of two bits, twice the set's size, from 64 to 32,768."""
+    wide = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 64, 32768)
+    base = np.cumsum(wide) - wide
+    slot = base[row] + (token & (wide[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits(np.bincount(slot, minlength=int(wide.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [odd[b // 8 : (b + w) // 8] for b, w in zip(base.tolist(), wide.tolist(), strict=True)]
+
+
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = text_bytes(b.column(1))
-            n, f = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.uint64)
+            n, f, bits = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.uint64), []
             for lo, rows, r, g in token_sets(raw, offs, width):
                 n[lo : lo + rows], f[lo : lo + rows] = fingerprint(r, g, rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(f.view(np.int64))], ["doc_id", "n", "fp"])
+                bits += bitmaps(r, g, n[lo : lo + rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(f.view(np.int64)), pa.array(bits, pa.binary())], ["doc_id", "n", "fp", "bits"])
 
     return run
 
 
-def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int):
-    """Rows ``(edge, a, b)``: index rows (key, set), and edges of sets that met at a key in this task already."""
+def pack(edge: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """Rows ``(edge, a, b)`` as one block: sorted first columns by their steps, second ones by place in a dictionary."""
+    out = [np.array([len(a), int(edge.sum())], np.int64).tobytes()]
+    for part in (~edge, edge):
+        order = np.argsort(a[part].view(np.uint64), kind="stable")
+        key, value = a[part].view(np.uint64)[order], b[part][order]
+        step = np.diff(key, prepend=U64(0))
+        names, place = np.unique(value, return_inverse=True)
+        small = place.astype(np.uint16 if len(names) <= 65536 else np.uint32)
+        planes = step.view(np.uint8).reshape(-1, 8).T.tobytes()
+        out += [np.array([len(names)], np.int64).tobytes(), planes, names.tobytes(), small.tobytes()]
+    return zlib.compress(b"".join(out), 1)
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a block made by :func:`pack`."""
+    raw = zlib.decompress(block)
+    total, edges = np.frombuffer(raw, np.int64, 2).tolist()
+    at, a, b = 16, [], []
+    for n in (total - edges, edges):
+        names = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
+        a.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.int64))
+        at += 8 + 8 * n
+        known = np.frombuffer(raw, np.int64, names, at)
+        at += 8 * names
+        kind = np.uint16 if names <= 65536 else np.uint32
+        b.append(known[np.frombuffer(raw, kind, n, at)])
+        at += n * kind().itemsize
+    return np.arange(total) >= total - edges, np.concatenate(a), np.concatenate(b)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in unpack(block.as_py())], ["edge", "a", "b"])
+
+
+def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, parts: int):
+    """Blocks ``(part, block)`` of rows ``(edge, a, b)``, dealt by key: index rows (key, node), and edges of nodes that met at a key in this task already."""
     low = np.array(bands)
     h_all = np.array([(low[k + 1] - 1) * (den - num) // num for k in range(len(schemes))])
 
@@ -141,7 +194,7 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
         seen: set[int] = set()
         held_k, held_f, held = [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held_k, held_f, held
             k, f = np.concatenate(held_k), np.concatenate(held_f)
             order = np.lexsort((f, k))
@@ -153,7 +206,12 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
             a, b = np.concatenate([k[new], pair[:, 0]]), np.concatenate([f[new], pair[:, 1]])
             edge = np.arange(len(a)) >= int(new.sum())
             held_k, held_f, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(edge), pa.array(a), pa.array(b)], ["edge", "a", "b"])
+            part = (mix(np.where(edge, b, a).view(np.uint64) + _K[5]) % U64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                at = order[cut[p] : cut[p + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(edge[at], a[at], b[at])], pa.binary())], ["part", "block"])
 
         for batch in batches:
             raw, offs = text_bytes(batch.column(0))
@@ -171,12 +229,12 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
                 for scheme in (own, below):
                     who, key = signature(r, g, scheme, schemes, h_all[np.maximum(scheme, 0)])
                     held_k.append(key.view(np.int64))
-                    held_f.append(f[who].view(np.int64))
+                    held_f.append((f[who] ^ _NODE[scheme[who]]).view(np.int64))
                     held += len(key)
-                if held > 600_000:
-                    yield flush()
+                if held > 1_500_000:
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -256,6 +314,38 @@ def _links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, in
                 yield i, int(k)
 
 
+def _near_links(n: np.ndarray, bits: list[np.ndarray], block: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the sets (sorted by size) that bitmaps don't tell apart.
+
+    Bitmaps are folded to the narrowest of them.  In a part of two blocks only pairs across are compared; a block's
+    own pairs are another part's.
+    """
+    words = min(len(b) for b in bits)
+    flat = np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
+    cross = bool((block != block[0]).any())
+    root = np.arange(len(n))
+    for i in range(len(n) - 1, 0, -1):
+        j = np.arange(int(np.searchsorted(n, -(-num * n[i] // den))), i)
+        j = j[(root[j] != root[i]) & ((block[j] != block[i]) if cross else True)]
+        differ = np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64)
+        for k in j[differ * (num + den) <= (den - num) * (n[j] + n[i])]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield i, int(k)
+
+
+def _split(num: int, den: int):
+    """Edges between the sets of each ``(comp, part)`` that bitmaps leave together, from rows sorted by both."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = sorted(rows, key=lambda r: (r[2], r[3]))
+        n, block = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
+        bits = [np.frombuffer(r[5], np.uint64) for r in rows]
+        return [(rows[i][3], rows[k][3]) for i, k in _near_links(n, bits, block, num, den)] if len(rows) > 1 else []
+
+    return _each_part(("comp", "part", "n", "fp", "mine", "bits"), solve)
+
+
 def _verify(num: int, den: int):
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         once = {}
@@ -265,11 +355,17 @@ def _verify(num: int, den: int):
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         return [(rows[i][3], rows[j][3]) for i, j in _links(sets, num, den)] if len(rows) > 1 else []
 
+    return _each_part(("comp", "part", "n", "fp", "tokens"), solve)
+
+
+def _each_part(columns: tuple[str, ...], solve):
+    """``solve`` on the rows of each ``(comp, part)``, the first two of ``columns``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
             out = []
-            for r in zip(*(b.column(c).to_pylist() for c in ("comp", "part", "n", "fp", "tokens")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if held and held[-1][:2] != r[:2]:
                     out += solve(held)
                     held = []
@@ -299,32 +395,47 @@ def jaccard_components(
     are ignored; an empty table gives no rows.
 
     Shingles, sets and keys are 64-bit hashes.  A key shared by many sets is pre-aggregated in each task and yields one
-    candidate edge a set; candidate groups over ``BLOCK`` sets are compared in pairs of blocks.
+    candidate edge a set; groups over ``BLOCK`` sets are compared in pairs of blocks, by bitmaps first.
     """
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = materialize(narrow.mapInArrow(_profile(width), "doc_id long, n long, fp long"), "profile")
+    profile = materialize(narrow.mapInArrow(_profile(width), "doc_id long, n long, fp long, bits binary"), "profile")
     known = profile.where("n > 0 and doc_id is not null")
     bands = size_bands(num, den, known.agg(F.max("n")).first()[0] or 1)
-    per_band = known.select(F.expr(f"aggregate(array({','.join(map(str, bands))}), -1, (k, x) -> if(n >= x, k + 1, k))").alias("k"))
-    counts = {r.k: r["count"] for r in per_band.groupBy("k").count().collect()}  # a row a band
+    low = f"array({','.join(map(str, bands))})"
+    own = F.expr(f"aggregate({low}, -1, (k, x) -> if(n >= x, k + 1, k))")
+    counts = {r.k: r["count"] for r in known.groupBy(own.alias("k")).count().collect()}  # a row a band
     schemes = [allocate(lo, hi - 1, counts.get(k, 0) + counts.get(k + 1, 0), num, den) for k, (lo, hi) in enumerate(zip(bands, bands[1:], strict=False))]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = narrow.where("doc_id is not null and text is not null").select("text").mapInArrow(_indexer(width, bands, schemes, num, den), "edge boolean, a long, b long")
-    rows = rows.repartition(parts, F.expr("if(edge, b, a)")).sortWithinPartitions("a", "b")
+    packed = narrow.where("doc_id is not null and text is not null").select("text").mapInArrow(_indexer(width, bands, schemes, num, den, parts), "part int, block binary")
+    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpack, "edge boolean, a long, b long").sortWithinPartitions("a", "b")
     edges = materialize(rows.mapInArrow(_meet, "a long, b long").distinct(), "candidates")
-    groups = materialize(connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("comp")), "groups")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    members = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups.join(sizes, "comp"), "fp")
-    members = materialize(members.select("doc_id", "fp", "comp", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "members")
-    sets = narrow.join(broadcast_if_small(members, 200_000), "doc_id").select("text", "fp", "comp", "blocks").mapInArrow(
+    groups = connected_components(edges).select("node", F.col("component").alias("comp"))
+    sets = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("k", own)
+    below = F.when((F.col("k") > 0) & F.expr(f"{den} * (element_at({low}, k + 1) - 1) >= {num} * n"), F.col("k") - 1)
+    salts = F.array(*[F.lit(int(x)) for x in _NODE[: len(bands)].view(np.int64)])
+    nodes = sets.withColumn("k", F.explode(F.array_compact(F.array(F.col("k"), below)))).withColumn("node", F.col("fp").bitwiseXOR(F.element_at(salts, F.col("k") + 1)))
+    split = _members(nodes, groups, "node").withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
+    split = split.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    split = split.select("comp", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), "n", "fp", "mine", "bits")
+    near = split.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_split(num, den), "a long, b long")
+    groups = connected_components(near).select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+    members = materialize(_members(sets.drop("bits"), groups, "fp").select("doc_id", "fp", "comp", "blocks"), "members")
+    tokens = narrow.join(broadcast_if_small(members, 200_000), "doc_id").select("text", "fp", "comp", "blocks").mapInArrow(
         _setter(width), "comp long, part long, n long, fp long, tokens binary"
     )
-    found = sets.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_verify(num, den), "a long, b long")
+    found = tokens.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_verify(num, den), "a long, b long")
     labels = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    labelled = profile.join(labels, "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
+    labelled = profile.drop("bits").join(labels, "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
     least = labelled.where("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )
+
+
+def _members(sets: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``sets`` with the ``comp`` of their group and its number of ``blocks``."""
+    groups = materialize(groups, "groups")
+    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    return sets.join(groups.join(sizes, "comp"), key)
