@@ -228,10 +228,10 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
                 below = np.where((own > 0) & (den * (low[own] - 1) >= num * n), own - 1, -1)
                 for scheme in (own, below):
                     who, key = signature(r, g, scheme, schemes, h_all[np.maximum(scheme, 0)])
-                    held_k.append(key.view(np.int64))
+                    held_k.append((key >> U64(8)).view(np.int64))
                     held_f.append((f[who] ^ _NODE[scheme[who]]).view(np.int64))
                     held += len(key)
-                if held > 1_500_000:
+                if held > 500_000:
                     yield from flush()
         if held:
             yield from flush()
@@ -394,7 +394,7 @@ def jaccard_components(
     ``doc_id`` take no part and have a null component.  Rows that repeat a ``doc_id`` are judged each.  Extra columns
     are ignored; an empty table gives no rows.
 
-    Shingles, sets and keys are 64-bit hashes.  A key shared by many sets is pre-aggregated in each task and yields one
+    Shingles and sets are 64-bit hashes; keys, which only propose candidates, have 56 bits.  A key shared by many sets is pre-aggregated in each task and yields one
     candidate edge a set; groups over ``BLOCK`` sets are compared in pairs of blocks, by bitmaps first.
     """
     spark = docs.sparkSession
