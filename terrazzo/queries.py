@@ -107,6 +107,17 @@ _add(
     h as (select c.*, w, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) / r as u from c left join p on sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) <= r)
     select ci, cj, round(x, 6) as x, round(y, 6) as y, round(coalesce(sum(0.75 * (1 - u * u) * w), 0), 6) as density from h group by ci, cj, x, y""",
 )
+# all events: the SQL meets a point (r is under 25) only with the nine cells about its own
+_add(
+    "heatmap_column_radius_weighted_all",
+    lambda s, d: points.heatmap(X.points_from_events(s, d), 25, "r", "w", "epanechnikov"),
+    f"""with p as ({EVT}), e as (select min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p),
+    c as (select i.i as ci, j.i as cj, x0 + (i.i + 0.5) * 25 as x, y0 + (j.i + 0.5) * 25 as y from e, unnest(range(ceil((x1 - x0) / 25)::bigint)) i(i), unnest(range(ceil((y1 - y0) / 25)::bigint)) j(i)),
+    n as (select p.*, floor((p.x - x0) / 25)::bigint + i.i as ci, floor((p.y - y0) / 25)::bigint + j.j as cj from p, e, range(-1, 2) i(i), range(-1, 2) j(j)),
+    h as (select ci, cj, n.w, sqrt((c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y)) / n.r as u from n join c using (ci, cj)),
+    g as (select ci, cj, sum(0.75 * (1 - u * u) * w) as density from h where u <= 1 group by ci, cj)
+    select ci, cj, round(x, 6) as x, round(y, 6) as y, round(coalesce(density, 0), 6) as density from c left join g using (ci, cj)""",
+)
 _QT = f"""with recursive p as ({EMB}), e as (select greatest(max(x) - min(x), max(y) - min(y)) as side, (min(x) + max(x)) / 2 as mx, (min(y) + max(y)) / 2 as my from p),
 u as (select p.*, side, mx - side / 2 as x0, my - side / 2 as y0, least(15, floor((x - (mx - side / 2)) / side * 16))::bigint as i, least(15, floor((y - (my - side / 2)) / side * 16))::bigint as j from p, e),
 n as (select *, count(*) over (partition by i // 8, j // 8) as n1, count(*) over (partition by i // 4, j // 4) as n2, count(*) over (partition by i // 2, j // 2) as n3 from u),
