@@ -6,6 +6,7 @@ Ties go to the smaller ``rid``.  Empty tables give empty results with their sche
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -100,11 +101,13 @@ def labelgrid_simplification(points: DataFrame, width: float, height: float | No
 # --- k-means -------------------------------------------------------------------------------------------------------
 
 
-def kmeans_clusters(points: DataFrame, ratio: float, tolerance: float = 2.0, max_rounds: int = 100) -> DataFrame:
+def kmeans_clusters(points: DataFrame, ratio: float, tolerance: float = 2.0, max_rounds: int | None = None) -> DataFrame:
     """``points`` with ``cluster, kx, ky``: Lloyd's algorithm on ``round(n * ratio)`` centres.
 
-    Seeds are the points of smallest ``rid``.  Rounds end when no centre moves more than ``tolerance``; an empty
-    cluster keeps its centre.  Centres are one array, shipped only up to 20,000; more clusters are refused.
+    Seeds are the points of smallest ``rid``.  Rounds end when no centre moves more than ``tolerance``, and clusters
+    are those of the last round; an empty cluster keeps its centre.  Only where ``max_rounds`` is given do rounds end
+    before that; else more than 10,000 raise.  Centres are one array, shipped only up to 20,000; more clusters are
+    refused.
     """
     n = points.count()
     k = round(n * ratio)
@@ -116,25 +119,21 @@ def kmeans_clusters(points: DataFrame, ratio: float, tolerance: float = 2.0, max
     centres = [(float(r.x), float(r.y)) for r in seeds]
 
     def assigned() -> DataFrame:
-        arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(centres)]) if k <= 200 else None
-        if arr is None:
-            from pyspark.sql import SparkSession
+        table = points.sparkSession.createDataFrame([(centres,)], "__c array<struct<x:double,y:double>>")
+        d = F.transform("__c", lambda c, i: F.struct(((F.col("x") - c.x) * (F.col("x") - c.x) + (F.col("y") - c.y) * (F.col("y") - c.y)).alias("d"), i.alias("i")))
+        return points.crossJoin(F.broadcast(table)).withColumn("cluster", F.array_min(d)["i"]).select(*points.columns, "cluster")  # one row
 
-            table = SparkSession.getActiveSession().createDataFrame([(centres,)], "c array<struct<x:double,y:double>>")
-            arr = F.transform("c", lambda c, i: F.struct(i.alias("i"), c.x.alias("x"), c.y.alias("y")))
-            base = points.crossJoin(F.broadcast(table))  # one row
-        else:
-            base = points
-        d = F.transform(arr, lambda c: F.struct(((F.col("x") - c.x) * (F.col("x") - c.x) + (F.col("y") - c.y) * (F.col("y") - c.y)).alias("d"), c.i.alias("i")))
-        return base.withColumn("cluster", F.array_min(d)["i"]).select(*points.columns, "cluster")
-
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         got = {r.cluster: (r.x, r.y) for r in assigned().groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
         moved = [got.get(i, c) for i, c in enumerate(centres)]
         far = max(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(centres, moved, strict=True))
-        centres = moved
         if far <= tolerance:
             break
+        centres = moved
+        if done == max_rounds:
+            break
+        if done == 10_000:
+            raise RuntimeError(f"k-means: a centre still moves {far} after {done} rounds")
     out = assigned()
     means = out.groupBy("cluster").agg(F.avg("x").alias("kx"), F.avg("y").alias("ky"))
     return out.join(broadcast_if_small(means), "cluster")

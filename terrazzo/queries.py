@@ -159,6 +159,7 @@ _add(
     "kmeans_aggregation", _fixed_kmeans,
     _lloyd(3) + " select count(*) as cluster_count, round(avg(x), 6) as x, round(avg(y), 6) as y, sum(value)::bigint as value_total, round(avg(value), 6) as value_mean from a3 group by c",
 )
+_add("kmeans_aggregation_converged", lambda s, d: points.kmeans_aggregation(X.points_from_embeddings(s, d), 0.05, "value"))
 _add("kmeans_selection", lambda s, d: points.kmeans_selection(X.points_from_embeddings(s, d), 0.05, "value"))
 _add("kmeans_simplification", lambda s, d: points.kmeans_simplification(X.points_from_embeddings(s, d), 0.05))
 

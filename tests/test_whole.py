@@ -1,5 +1,6 @@
 """The queries that do the whole job, where the query named by SQL is a part of it."""
 
+import math
 import os
 
 import duckdb
@@ -32,3 +33,39 @@ def test_heatmap_of_all_events(spark):
     got = against_sql(spark, "heatmap_column_radius_weighted_all", "sf0.01")
     e = X.points_from_events(spark, f"{TESTDATA}/sf0.01").selectExpr("max(x)", "min(x)", "max(y)", "min(y)").first()
     assert len(got) == -(-(e[0] - e[1]) // 25) * -(-(e[2] - e[3]) // 25)
+
+
+def lloyd(xy: list, k: int, tolerance: float) -> tuple[list, int]:
+    """Clusters of the last round, and the rounds."""
+    centres, rounds = xy[:k], 0
+    while True:
+        rounds += 1
+        near = [min(range(k), key=lambda c: ((p[0] - centres[c][0]) * (p[0] - centres[c][0]) + (p[1] - centres[c][1]) * (p[1] - centres[c][1]), c)) for p in xy]
+        moved = [tuple(sum(v) / len(v) for v in zip(*(p for p, c in zip(xy, near, strict=True) if c == i), strict=True)) if i in near else centres[i] for i in range(k)]
+        far, centres = max(map(math.dist, centres, moved)), moved
+        if far <= tolerance:
+            return near, rounds
+
+
+def test_kmeans_until_no_centre_moves(spark):
+    from terrazzo.operators import points
+
+    # seeds at one end of a line: borders walk along it for more than a hundred rounds
+    xy = [(i * 100.0, 0.0) for i in range(1000)]
+    near, rounds = lloyd(xy, 8, 2.0)
+    assert rounds > 100
+    table = spark.createDataFrame([(i, *p, i % 7) for i, p in enumerate(xy)], "rid long, x double, y double, value long").repartition(4)
+    got = {r.rid: r.cluster for r in points.kmeans_clusters(table, 8 / 1000).collect()}
+    assert got == dict(enumerate(near))
+
+
+def test_kmeans_query_is_converged(spark):
+    import __spark_entry__ as entry
+    from terrazzo.sources import fixtures as X
+
+    p = X.points_from_embeddings(spark, f"{TESTDATA}/sf0.001").orderBy("rid").collect()
+    near, rounds = lloyd([(r.x, r.y) for r in p], 25, 2.0)
+    assert rounds > 4
+    want = sorted((near.count(c), sum(r.value for r, n in zip(p, near, strict=True) if n == c)) for c in set(near))
+    got = entry.queries()["kmeans_aggregation_converged"](spark, f"{TESTDATA}/sf0.001").collect()
+    assert sorted((r.cluster_count, r.value_total) for r in got) == want
