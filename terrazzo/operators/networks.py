@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -112,20 +114,26 @@ def strahler(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return e.select("rid").join(done.select("rid", "strahler"), "rid", "left")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float = float("inf"), max_rounds: int = 1000) -> DataFrame:
-    """``(source, node, cost)``: cheapest costs over undirected ``edges(src, dst, length)`` from ``sources(node)``."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float = float("inf"), max_rounds: int | None = None) -> DataFrame:
+    """``(source, node, cost)``: cheapest costs over undirected ``edges(src, dst, length)`` from ``sources(node)``.
+
+    Rounds go on until no cost falls.  Where that takes more than ``max_rounds`` (as many as there are nodes, which
+    lengths of 0 or more never exceed), it raises.
+    """
     both = materialize(edges.select("src", "dst", "length").union(edges.select("dst", "src", "length")), "arcs")
-    best = front = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")), "front")
-    for _ in range(max_rounds):
+    best = front = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct(), "front")
+    rounds = both.select("src").distinct().count() if max_rounds is None else max_rounds
+    for done in itertools.count():
         step = front.join(both, front.node == both.src).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
         step = step.where(F.col("cost") <= max_cost).groupBy("source", "node").agg(F.min("cost").alias("cost"))
         old = best.withColumnRenamed("cost", "old")
         new = materialize(step.join(old, ["source", "node"], "left").where("old is null or cost < old").select("source", "node", "cost"), "front")
         if new.limit(1).count() == 0:
-            break
+            return best
+        if done >= rounds:
+            raise RuntimeError(f"shortest paths: costs still fall after {rounds} rounds")
         best = materialize(best.union(new).groupBy("source", "node").agg(F.min("cost").alias("cost")), "best")
         front = new
-    return best
 
 
 def attributes_from_longest(lines: DataFrame, group: str, attribute: str, length: str = "length") -> DataFrame:

@@ -316,6 +316,17 @@ _add(
     r(sx, sy, x, y, c) as (select distinct x1, y1, x1, y1, 0.0::double from u where x1 < 300 and y1 < 300 union select r.sx, r.sy, u.x2, u.y2, c + 100 from r join u on r.x = u.x1 and r.y = u.y1 where c < 600),
     m as (select sx, sy, x, y, min(c) as cost from r group by sx, sy, x, y) select cost, count(*) as n from m group by cost""",
 )
+
+
+def _all_paths(s, d) -> DataFrame:
+    """From every node to every node; nodes by their position, as ids are hashes."""
+    nodes, edges = networks.create_graph(X.roads_from_orders(s, d))
+    paths = networks.shortest_paths(edges, nodes.select("node"))
+    at = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"{k}_x"), F.col("y").alias(f"{k}_y"))
+    return paths.join(at("source"), "source").join(at("node"), "node").select("source_x", "source_y", "node_x", "node_y", "cost")
+
+
+_add("shortest_paths_all", _all_paths)
 _add(
     "strahler_order",
     lambda s, d: networks.strahler(X.rivers_from_customers(s, d)),

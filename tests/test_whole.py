@@ -1,5 +1,6 @@
 """The queries that do the whole job, where the query named by SQL is a part of it."""
 
+import heapq
 import math
 import os
 
@@ -69,3 +70,45 @@ def test_kmeans_query_is_converged(spark):
     want = sorted((near.count(c), sum(r.value for r, n in zip(p, near, strict=True) if n == c)) for c in set(near))
     got = entry.queries()["kmeans_aggregation_converged"](spark, f"{TESTDATA}/sf0.001").collect()
     assert sorted((r.cluster_count, r.value_total) for r in got) == want
+
+
+def dijkstra(arcs: dict, source) -> dict:
+    best, heap = {}, [(0.0, source)]
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = cost
+            for to, length in arcs.get(node, ()):
+                heapq.heappush(heap, (cost + length, to))
+    return best
+
+
+def test_paths_raise_instead_of_ending_early(spark):
+    from terrazzo.operators import networks
+
+    # a chain with a dear short cut: the cheap way to its end has the most edges
+    edges = [(i, i + 1, 1.0) for i in range(8)] + [(0, 8, 50.0), (2, 7, 4.5)]
+    e, nodes = spark.createDataFrame(edges, "src long, dst long, length double"), spark.createDataFrame([(0,), (5,), (5,)], "node long")
+    arcs: dict = {}
+    for a, b, n in edges:
+        arcs.setdefault(a, []).append((b, n))
+        arcs.setdefault(b, []).append((a, n))
+    got = {(r.source, r.node): r.cost for r in networks.shortest_paths(e, nodes).collect()}
+    assert got == {(s, n): c for s in (0, 5) for n, c in dijkstra(arcs, s).items()}
+    with pytest.raises(RuntimeError):
+        networks.shortest_paths(e, nodes, max_rounds=3)
+
+
+def test_paths_between_all_nodes(spark):
+    import __spark_entry__ as entry
+    from terrazzo.sources import fixtures as X
+
+    arcs: dict = {}
+    for r in X.roads_from_orders(spark, f"{TESTDATA}/sf0.001").collect():
+        a, b = ((p.x, p.y) for p in r.geom)
+        arcs.setdefault(a, []).append((b, 100.0))
+        arcs.setdefault(b, []).append((a, 100.0))
+    want = {(*s, *n): c for s in arcs for n, c in dijkstra(arcs, s).items()}
+    assert max(want.values()) > 600
+    got = entry.queries()["shortest_paths_all"](spark, f"{TESTDATA}/sf0.001").collect()
+    assert len(got) == len(want) and {tuple(r)[:4]: r.cost for r in got} == want
