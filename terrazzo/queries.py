@@ -179,6 +179,7 @@ _add(
     select rid, (greatest(0, ceil((x - x0) / 500.0) - 1) * greatest(1, ceil((y1 - y0) / 50.0)) + greatest(0, ceil((y - y0) / 50.0) - 1))::bigint as part_id from p, e""",
 )
 _add("partition_quadtree", lambda s, d: partition.partition_quadtree(X.points_from_embeddings(s, d), 4), _QT + "select rid, level, qi, qj from c")
+_add("partition_quadtree_all", lambda s, d: partition.partition_quadtree(X.points_from_embeddings(s, d)))
 
 # --- lines -------------------------------------------------------------------------------------------------------------
 

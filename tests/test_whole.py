@@ -112,3 +112,47 @@ def test_paths_between_all_nodes(spark):
     assert max(want.values()) > 600
     got = entry.queries()["shortest_paths_all"](spark, f"{TESTDATA}/sf0.001").collect()
     assert len(got) == len(want) and {tuple(r)[:4]: r.cost for r in got} == want
+
+
+def leaves(points: list, x0: float, y0: float, side: float, most: int, level: int = 0, qi: int = 0, qj: int = 0) -> dict:
+    """The leaf of each ``(rid, x, y)``, by halving."""
+    if len(points) <= most or len({p[1:] for p in points}) == 1:
+        return {p[0]: (level, qi, qj) for p in points}
+    half, out = side / 2, {}
+    for a in (0, 1):
+        for b in (0, 1):
+            inside = [p for p in points if (p[1] >= x0 + half) == a and (p[2] >= y0 + half) == b]
+            out |= leaves(inside, x0 + a * half, y0 + b * half, half, most, level + 1, 2 * qi + a, 2 * qj + b)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_quadtree_without_a_depth(spark, most):
+    from terrazzo.operators import partition
+
+    # a square of side 1024, with pairs at 2 ** -30 of it, equal points, and points on dividing lines
+    xy = [(0, 0), (1024, 1024), (512, 512), (512, 3), (256, 512), (2**-20, 0), (700, 700), (700, 700), (700, 700), (700, 700), (701, 700), (1024, 1023.5), (5, 1024)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    got = {r.rid: (r.level, r.qi, r.qj) for r in partition.partition_quadtree(spark.createDataFrame(points, "rid long, x double, y double"), max_points=most).collect()}
+    assert got == leaves(points, 0.0, 0.0, 1024.0, most)
+    assert max(v[0] for v in got.values()) > 8 or most > 1
+
+
+def test_quadtree_ends(spark):
+    from terrazzo.operators import partition
+
+    table = lambda *xy: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "rid long, x double, y double")
+    assert [r.level for r in partition.partition_quadtree(table((3, 4))).collect()] == [0]
+    assert [r.level for r in partition.partition_quadtree(table((3, 4), (3, 4))).collect()] == [0, 0]
+    assert partition.partition_quadtree(table((3, 4)).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        partition.partition_quadtree(table((0, 0), (2**-70, 0), (1, 1)))
+    capped = partition.partition_quadtree(table((0, 0), (1, 0), (2, 0), (64, 64)), 3, max_points=2)
+    assert sorted(r.level for r in capped.collect()) == [1, 3, 3, 3]
+
+
+def test_quadtree_query(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["partition_quadtree_all"](spark, f"{TESTDATA}/sf0.01").collect()
+    assert len({(r.level, r.qi, r.qj) for r in got}) == len(got) == 500
