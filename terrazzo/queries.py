@@ -248,6 +248,8 @@ _add("polygon_perimeter", lambda s, d: X.buildings_from_parts(s, d).select("rid"
 _add("polygon_compactness", lambda s, d: X.buildings_from_parts(s, d).select("rid", G.compactness(F.col("geom")).alias("v")), f"select rid, round(4 * pi() * {_A} / power(2 * (w + h), 2), 6) as v from ({BLD})")
 _add("polygon_concavity", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_concavity")("geom").alias("v")), f"select rid, round(case when ell then 0.75 / 0.875 else 1 end, 6) as v from ({BLD})")
 _add("polygon_elongation", lambda s, d: X.buildings_from_parts(s, d).where("rid % 3 <> 0").select("rid", measure("polygon_elongation")("geom").alias("v")), f"select rid, round(greatest(w, h) / least(w, h), 6) as v from ({BLD}) where not ell")
+# the L's smallest rectangle is that of its sides: one along its cut has 1.5 times the area
+_add("polygon_elongation_all", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_elongation")("geom").alias("v")), f"select rid, round(greatest(w, h) / least(w, h), 6) as v from ({BLD})")
 _add("polygon_orientation", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_orientation")("geom").alias("v")))
 for _name, _how in {"convex_hull": {}, "enclosing_rectangle": {}, "regularize_building_rectangle": {"factor": 1.1}, "square_polygon_naive": {}}.items():
     _add(_name, lambda s, d, n=_name, h=_how: X.buildings_from_parts(s, d).select("rid", G.area(line_function(n, **h)("geom")).alias("area")))
@@ -262,6 +264,12 @@ _add(
     lambda s, d: X.buildings_from_parts(s, d).where("rid % 3 <> 0").select("rid", B.granularity(F.col("geom"), 12.0).alias("v")),
     f"""with e as (select rid, unnest([w, h, w, h]) as l from ({BLD}) where not ell) select rid, round(coalesce(sqrt(count(*) filter (l < 12) / 4.0 * avg(12 - l) filter (l < 12) / 12), 0), 6) as v from e group by rid""",
 )
+_add(
+    "building_granularity_constraint_all",
+    lambda s, d: X.buildings_from_parts(s, d).select("rid", B.granularity(F.col("geom"), 12.0).alias("v")),
+    f"""with e as (select rid, unnest(case when ell then [w, h / 2, w / 2, h / 2, w / 2, h] else [w, h, w, h] end) as l, case when ell then 6.0 else 4.0 end as n from ({BLD}))
+    select rid, round(coalesce(sqrt(count(*) filter (l < 12) / first(n) * avg(12 - l) filter (l < 12) / 12), 0), 6) as v from e group by rid""",
+)
 _add(
     "building_size_monitor",
     lambda s, d: X.buildings_from_parts(s, d).select("rid", G.area(F.col("geom")).alias("a")).select("rid", B.size_monitor(F.col("a"), F.col("a"), 150.0).alias("level")),

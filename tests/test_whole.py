@@ -156,3 +156,9 @@ def test_quadtree_query(spark):
 
     got = entry.queries()["partition_quadtree_all"](spark, f"{TESTDATA}/sf0.01").collect()
     assert len({(r.level, r.qi, r.qj) for r in got}) == len(got) == 500
+
+
+@pytest.mark.parametrize("name", ["polygon_elongation_all", "building_granularity_constraint_all"])
+def test_buildings_of_both_shapes(spark, name):
+    got = against_sql(spark, name, "sf0.01")
+    assert len(got) == 2000 and sum(r[0] % 3 == 0 for r in got) == 667
