@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,29 +59,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(CHUNK_BYTES + 1, n)
-    if size in _POWERS:
-        return _POWERS[size]
-    out = []
-    for base in (_P, _P_INV):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    if size == CHUNK_BYTES + 1:
-        _POWERS[size] = (out[0], out[1])
-    return out[0], out[1]
+#: Spans beyond this many bytes are hashed one by one.
+LONG_SPAN = 1024
+
+
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a little-endian number; bytes beyond the end are 0."""
+    pad = np.zeros(len(raw) + 16, np.uint8)
+    pad[: len(raw)] = raw
+    return np.ndarray((len(raw) + 8,), "<u8", pad, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ``raw[start:end]``: 8 bytes at a time, each through a non-linear mix of all before it."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % 2**64))
+    words = words_of(raw)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    k = 0
+    while len(live):
+        w = words[start[live] + k]
+        left = size[live] - k
+        tail = left < 8
+        w[tail] &= (U64(1) << (left[tail] * 8).astype(np.uint64)) - U64(1)
+        out[live] = mix(out[live] ^ w)
+        k += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        digest = hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether ``raw[a:a_end]`` and ``raw[b:b_end]`` hold the same bytes, 8 at a time."""
+    size = a_end - a
+    out = size == b_end - b
+    words = words_of(raw)
+    live = np.flatnonzero(out & (size > 0) & (size <= LONG_SPAN) & (a != b))
+    k = 0
+    while len(live):
+        x = words[a[live] + k] ^ words[b[live] + k]
+        left = size[live] - k
+        tail = left < 8
+        x[tail] &= (U64(1) << (left[tail] * 8).astype(np.uint64)) - U64(1)
+        out[live[x != 0]] = False
+        k += 8
+        live = live[(x == 0) & (left > 8)]
+    for i in np.flatnonzero(out & (size > LONG_SPAN) & (a != b)):
+        out[i] = bool(np.array_equal(raw[a[i] : a_end[i]], raw[b[i] : b_end[i]]))
+    return out
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,17 +135,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = offsets[1:][offsets[1:] > 0] - 1
     last[ends] = solid[ends]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE_LOWER[raw] * power[:n], out=total[1:])
-    h = mix((total[e + 1] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+    h = span_hashes(_LOWER[raw], s, e + 1)
     row = np.searchsorted(offsets, s, "right") - 1
     return h, row, s, e + 1
 
 
-_GRAM = mix(np.arange(1, 65, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
-
-
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``width``-word shingles ``(row, hash)`` sorted by row, then hash; a shorter text is one shingle."""
     counts = np.bincount(row, minlength=rows)
@@ -122,17 +148,21 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.
     m = len(h) - width + 1
     out_r, out_h = [], []
     if m > 0:
-        g = np.zeros(m, np.uint64)
-        for k in range(width):
-            g += h[k : k + m] * _GRAM[k]
         ok = row[:m] == row[width - 1 :]
-        out_r.append(row[:m][ok])
-        out_h.append(mix(g[ok]))
+        at = np.flatnonzero(ok)
+        g = np.full(len(at), width, np.uint64)
+        for k in range(width):
+            g = mix(g ^ h[at + k])
+        out_r.append(row[at])
+        out_h.append(g)
     start = np.concatenate([[0], np.cumsum(counts)])
     for r in np.flatnonzero((counts > 0) & (counts < width)):
         w = h[start[r] : start[r + 1]]
         out_r.append(np.array([r]))
-        out_h.append(mix((w * _GRAM[: len(w)]).sum(dtype=np.uint64, keepdims=True) + U64(len(w))))
+        g = np.full(1, len(w), np.uint64)
+        for x in w:
+            g = mix(g ^ x)
+        out_h.append(g)
     r, g = np.concatenate(out_r), np.concatenate(out_h)
     order = np.lexsort((g, r))
     r, g = r[order], g[order]
@@ -141,6 +171,14 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.
     return r[keep], g[keep]
 
 
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def fold(text: str) -> str:
+    """Lower-case A-Z only."""
+    return text.translate(_FOLD)
+
+
 def ascii_lower(c):
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,11 +3,18 @@
 Sets of similar size share a *scheme*: tokens are hashed into ``m`` segments.  Two sets that link differ in at most
 ``H`` tokens, so some segments are equal in both.  Each segment's subset is indexed as one key; a scheme may also give
 ``q`` segments their one-deletion neighbourhoods, which count double in the pigeonhole and so save segments.  The
-split between the two is chosen per scheme by cost, from the number of sets in the corpus.
+split between the two is chosen per scheme by cost.
 
-Keys only propose candidates.  Passages that many texts share make chance candidates, which chain into large groups;
-so a group is first split by parity bitmaps, which bound the tokens in which two sets differ from below.  Only what
-is left together is compared exactly, on whole token sets.
+Allocation then goes on per set, by the keys' frequencies in the corpus (a sketch over all sets): the pigeonhole
+promises a linked pair more common keys than one, and each set leaves out that surplus, its most frequent keys.  All
+sets rank keys alike, so the rarest common key of a linked pair is left out by neither.  Passages that many texts share
+therefore make no common keys, unless texts are made of little else.
+
+Links come from pairs that meet at a key and are compared exactly:
+
+1. Every set is compared with one set it shares the most keys with, of those that lead a key.
+2. Keys whose sets are then still in different components: their pairs across components that bitmaps don't rule out
+   are compared too, a growing number for each set and component, until none is left.
 """
 
 from __future__ import annotations
@@ -23,24 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.plans.components import connected_components
-from terrazzo.plans.durable import broadcast_if_small, materialize
+from terrazzo.plans.durable import broadcast_if_small, discard, materialize
 
 from .common import U64, chunks, mix, shingles, small_batches, text_bytes, word_hashes
 
-#: Sets compared at once; larger candidate groups are split into pairs of blocks.
-BLOCK = 4096
+#: Sets of one key compared at once; larger groups are split into pairs of blocks.
+BLOCK = 1024
+#: Slots of the sketch of key frequencies.
+SLOTS = 1 << 20
 _K = mix(np.arange(21, 27, dtype=np.uint64)) | U64(1)
-#: A set is one node in each scheme it takes part in: its fingerprint xor the scheme's constant.
-_NODE = mix(np.arange(1001, 1129, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments ``m``, of which the first ``q`` have one-deletion neighbourhoods; ``spare`` matches beyond the first."""
+    """Segments ``m``, of which the first ``q`` have one-deletion neighbourhoods."""
 
     m: int
     q: int
-    spare: int
 
 
 def size_bands(num: int, den: int, largest: int) -> list[int]:
@@ -51,24 +57,26 @@ def size_bands(num: int, den: int, largest: int) -> list[int]:
     return ends
 
 
-def allocate(low: int, high: int, sets: int, num: int, den: int, common: float = 0.05) -> Scheme:
+def matches(m, q, differ):
+    """How many segments match at least when ``differ`` tokens do; a segment with deletions needs two to be apart."""
+    return np.where(differ <= m - q, m - differ, (m + q - differ + 1) // 2)
+
+
+def allocate(low: int, high: int, sets: int, num: int, den: int, common: float = 0.05, surplus: float = 0.25) -> Scheme:
     """The cheapest scheme for sets of ``low`` to ``high`` tokens, of which the corpus has ``sets``.
 
     Cost is index rows plus expected chance matches, where ``common`` is the chance that a token of one set is in an
-    unrelated one.  ``spare`` lets sets have that many empty segments without further keys.
+    unrelated one.  Segments beyond the pigeonhole's need (a share ``surplus`` of it) let sets leave out keys.
     """
     h = high * (den - num) // num
     best = None
     for q in {0, *(round((h + 1) * f / 8) for f in range(1, 5))}:
-        m = max(1, h + 1 - q)
-        empty = m * math.exp(-low / m)
-        spare = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.02 else 0
-        m += spare
-        q_ = min(q, m)
+        more = math.ceil(surplus * (h + 1))
+        m = h + 1 + more if q == 0 else max(q, h + 2 + 2 * more - q)
         size = (low + high) / 2 / m
-        cost = sets * ((m - q_) + q_ * (1 + size)) + sets * float(sets) * m * common ** max(1.0, size - (1 if q_ else 0))
-        if m + q_ >= h + 1 + spare and (best is None or cost < best[0]):
-            best = (cost, Scheme(m, q_, spare))
+        cost = sets * ((m - q) + q * (1 + size)) + sets * float(sets) * m * common ** max(1.0, size - (1 if q else 0))
+        if best is None or cost < best[0]:
+            best = (cost, Scheme(m, q))
     return best[1]
 
 
@@ -94,10 +102,15 @@ def _sums(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
     return lo.astype(np.uint64) + (hi.astype(np.uint64) << U64(32))
 
 
-def signature(row: np.ndarray, token: np.ndarray, scheme_of: np.ndarray, schemes: list[Scheme], h_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)`` of every set whose ``scheme_of`` isn't -1."""
+def signature(row: np.ndarray, token: np.ndarray, scheme_of: np.ndarray, schemes: list[Scheme], differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, key)`` of every set whose ``scheme_of`` isn't -1, distinct and sorted, and how many keys each may leave out.
+
+    ``differ`` is how many tokens a set may have apart from any set it links with.  A matching segment has no common
+    key only if it is bare in both sets (empty, or of one token beside an empty one); a set with so many bare segments
+    that no match is sure to have a key gets keys for them.
+    """
     on = scheme_of >= 0
-    m, q, spare = (np.array([getattr(s, k) for s in schemes])[np.maximum(scheme_of, 0)] for k in ("m", "q", "spare"))
+    m, q = (np.array([getattr(s, k) for s in schemes])[np.maximum(scheme_of, 0)] for k in ("m", "q"))
     m = np.where(on, m, 0)
     keep = on[row]
     row, token = row[keep], token[keep]
@@ -116,13 +129,27 @@ def signature(row: np.ndarray, token: np.ndarray, scheme_of: np.ndarray, schemes
     less = double[at] & (size[at] > 1)
     rows.append(row[less])
     keys.append(mix((sums[at[less]] - value[less]) ^ salt[at[less]]))
-    # a set may match through empty subsets only if those outweigh the spare matches; then they are keys as well
     bare = (size == 0) | (double & (size <= 1))
-    weight = np.bincount(owner, weights=bare * (1 + double), minlength=len(m))
-    extra = bare & (weight > m + q - h_of - 1)[owner]
+    spare = matches(m, q, differ) - 1 - np.bincount(owner, weights=bare, minlength=len(m)).astype(np.int64)
+    extra = bare & (spare < 0)[owner]
     rows.append(owner[extra])
     keys.append(mix(salt[extra] + _K[5]))
-    return np.concatenate(rows), np.concatenate(keys)
+    r, k = np.concatenate(rows), np.concatenate(keys) >> U64(8)
+    order = np.lexsort((k, r))
+    r, k = r[order], k[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    return r[new], k[new], np.maximum(spare, 0)
+
+
+def leave_out(row: np.ndarray, key: np.ndarray, spare: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which keys stay when each row leaves out its ``spare`` most frequent ones; ties by key, alike in all sets."""
+    order = np.lexsort((key, weight[(key % U64(len(weight))).astype(np.int64)], row))
+    count = np.bincount(row, minlength=len(spare))
+    place = np.arange(len(row)) - (np.cumsum(count) - count)[row[order]]
+    out = np.zeros(len(row), bool)
+    out[order] = place < np.maximum(1, count - spare)[row[order]]
+    return out
 
 
 def bitmaps(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -147,238 +174,299 @@ def _profile(width: int):
     return run
 
 
-def pack(edge: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-    """Rows ``(edge, a, b)`` as one block: sorted first columns by their steps, second ones by place in a dictionary."""
-    out = [np.array([len(a), int(edge.sum())], np.int64).tobytes()]
-    for part in (~edge, edge):
-        order = np.argsort(a[part].view(np.uint64), kind="stable")
-        key, value = a[part].view(np.uint64)[order], b[part][order]
-        step = np.diff(key, prepend=U64(0))
-        names, place = np.unique(value, return_inverse=True)
-        small = place.astype(np.uint16 if len(names) <= 65536 else np.uint32)
-        planes = step.view(np.uint8).reshape(-1, 8).T.tobytes()
-        out += [np.array([len(names)], np.int64).tobytes(), planes, names.tobytes(), small.tobytes()]
-    return zlib.compress(b"".join(out), 1)
+def pack(key: np.ndarray, value: np.ndarray) -> bytes:
+    """Rows ``(key, value)`` as one block: sorted keys by their steps, values by place in a dictionary."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    names, place = np.unique(value, return_inverse=True)
+    small = place.astype(np.uint16 if len(names) <= 65536 else np.uint32)
+    planes = np.diff(key, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zlib.compress(b"".join([np.array([len(key), len(names)], np.int64).tobytes(), planes, names.tobytes(), small.tobytes()]), 1)
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a block made by :func:`pack`."""
     raw = zlib.decompress(block)
-    total, edges = np.frombuffer(raw, np.int64, 2).tolist()
-    at, a, b = 16, [], []
-    for n in (total - edges, edges):
-        names = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
-        a.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.int64))
-        at += 8 + 8 * n
-        known = np.frombuffer(raw, np.int64, names, at)
-        at += 8 * names
-        kind = np.uint16 if names <= 65536 else np.uint32
-        b.append(known[np.frombuffer(raw, kind, n, at)])
-        at += n * kind().itemsize
-    return np.arange(total) >= total - edges, np.concatenate(a), np.concatenate(b)
+    n, names = np.frombuffer(raw, np.int64, 2).tolist()
+    planes = np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n)
+    key = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.int64)
+    known = np.frombuffer(raw, np.int64, names, 16 + 8 * n)
+    place = np.frombuffer(raw, np.uint16 if names <= 65536 else np.uint32, n, 16 + 8 * n + 8 * names)
+    return key, known[place]
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in unpack(block.as_py())], ["edge", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in unpack(block.as_py())], ["key", "fp"])
 
 
-def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, parts: int):
-    """Blocks ``(part, block)`` of rows ``(edge, a, b)``, dealt by key: index rows (key, node), and edges of nodes that met at a key in this task already."""
+def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: list[int], schemes: list[Scheme], num: int, den: int) -> Iterator[tuple]:
+    """``(fingerprints, row, key, spare)`` of the sets in a task, each distinct one once while it is remembered."""
     low = np.array(bands)
-    h_all = np.array([(low[k + 1] - 1) * (den - num) // num for k in range(len(schemes))])
+    seen: set[int] = set()
+    for batch in batches:
+        raw, offs = text_bytes(batch.column(0))
+        for _, rows, r, g in token_sets(raw, offs, width):
+            n, f = fingerprint(r, g, rows)
+            own = np.searchsorted(low, n, "right") - 1
+            if len(seen) > 500_000:
+                seen.clear()
+            for i, x in enumerate(f.tolist()):
+                if n[i] == 0 or x in seen:
+                    own[i] = -1
+                else:
+                    seen.add(x)
+            below = np.where((own > 0) & (den * (low[own] - 1) >= num * n), own - 1, -1)
+            for scheme in (own, below):
+                # the smaller of two linked sets has at most ``n * (den - num) / num`` tokens apart, the larger fewer
+                most = (low[np.maximum(scheme, 0) + 1] - 1) * (den - num) // num
+                yield f, *signature(r, g, scheme, schemes, np.minimum(most, n * (den - num) // num))
+
+
+def _weigher(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int):
+    """Counts of the keys by slot, as blocks of ``(part, counts)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
+        for _, _, key, _ in _signatures(batches, width, bands, schemes, num, den):
+            held.append((key % U64(SLOTS)).astype(np.int64))
+            size += len(key)
+            if size > SLOTS:
+                counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+        if counts.any():
+            blocks = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counts.reshape(64, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blocks, pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks by part."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(block.as_py()), "<u4").astype(np.int64)
+    done = [np.round(8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(done, pa.binary())], ["part", "weights"])
+
+
+def key_weights(texts: DataFrame, width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, parts: int) -> np.ndarray:
+    """Eight times the logarithm of each slot's number of keys, over all sets: a megabyte whatever the corpus."""
+    sums = texts.mapInArrow(_weigher(width, bands, schemes, num, den), "part int, counts binary").repartition(min(64, parts), "part").mapInArrow(_add, "part int, weights binary")
+    out = np.zeros((64, SLOTS // 64), np.uint8)
+    for r in sums.collect():  # 64 rows
+        out[r.part] = np.frombuffer(r.weights, np.uint8)
+    return out.ravel()
+
+
+def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, weight: np.ndarray, parts: int):
+    """Blocks ``(part, block)`` of index rows ``(key, fingerprint)``, dealt by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held_k, held_f, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held_k, held_f, held
             k, f = np.concatenate(held_k), np.concatenate(held_f)
-            order = np.lexsort((f, k))
-            k, f = k[order], f[order]
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            lead = f[new][np.cumsum(new) - 1]
-            pair = np.unique(np.stack([lead, f], 1)[lead != f], axis=0) if (lead != f).any() else np.zeros((0, 2), np.int64)
-            a, b = np.concatenate([k[new], pair[:, 0]]), np.concatenate([f[new], pair[:, 1]])
-            edge = np.arange(len(a)) >= int(new.sum())
-            held_k, held_f, held = [], [], 0
-            part = (mix(np.where(edge, b, a).view(np.uint64) + _K[5]) % U64(parts)).astype(np.int32)
+            part = (mix(k + _K[5]) % U64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 at = order[cut[p] : cut[p + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(edge[at], a[at], b[at])], pa.binary())], ["part", "block"])
-
-        for batch in batches:
-            raw, offs = text_bytes(batch.column(0))
-            for _, rows, r, g in token_sets(raw, offs, width):
-                n, f = fingerprint(r, g, rows)
-                own = np.searchsorted(low, n, "right") - 1
-                if len(seen) > 500_000:
-                    seen.clear()
-                for i, x in enumerate(f.tolist()):
-                    if n[i] == 0 or x in seen:
-                        own[i] = -1
-                    else:
-                        seen.add(x)
-                below = np.where((own > 0) & (den * (low[own] - 1) >= num * n), own - 1, -1)
-                for scheme in (own, below):
-                    who, key = signature(r, g, scheme, schemes, h_all[np.maximum(scheme, 0)])
-                    held_k.append((key >> U64(8)).view(np.int64))
-                    held_f.append((f[who] ^ _NODE[scheme[who]]).view(np.int64))
-                    held += len(key)
-                if held > 500_000:
-                    yield from flush()
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(k[at], f[at])], pa.binary())], ["part", "block"])
+
+        for f, row, key, spare in _signatures(batches, width, bands, schemes, num, den):
+            stay = leave_out(row, key, spare, weight)
+            held_k.append(key[stay])
+            held_f.append(f[row[stay]].view(np.int64))
+            held += len(held_k[-1])
+            if held > 500_000:
+                yield from flush()
+                held_k, held_f, held = [], [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From index rows sorted by key: edges from each key's first set to its others.  Only that set is remembered."""
-    key, lead = None, None
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key and fingerprint: those whose key has another set, with the key's first set as ``lead``."""
+    last: tuple[int, int, int, bool] | None = None  # key, fp, lead, whether it has company
     for b in batches:
-        edge, a, f = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        pa_, pb_ = a[edge], f[edge]
-        k, f = a[~edge], f[~edge]
-        out_a, out_b = [pa_], [pb_]
-        if len(k):
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            first = f[new].copy()
-            if key is not None and k[0] == key:
-                first[0] = lead
-            lead_of = first[np.cumsum(new) - 1]
-            out_a.append(lead_of[lead_of != f])
-            out_b.append(f[lead_of != f])
-            key, lead = k[-1], lead_of[-1]
-        pair = np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1)
-        pair = np.unique(pair, axis=0) if len(pair) else pair
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        k, f = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if last is not None:
+            k, f = np.insert(k, 0, last[0]), np.insert(f, 0, last[1])
+        if not len(k):
+            continue
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
+        k, f = k[new], f[new]
+        same = np.zeros(len(k) + 1, bool)
+        same[1:-1] = k[1:] == k[:-1]
+        start = np.flatnonzero(~same[:-1])
+        lead = f[start].copy()
+        company = same[:-1] | same[1:]
+        if last is not None:
+            lead[0] = last[2]
+            company[0] |= last[3]
+        lead = np.repeat(lead, np.diff(np.append(start, len(k))))
+        last = (int(k[-1]), int(f[-1]), int(lead[-1]), bool(company[-1]))
+        out = company[:-1]
+        yield _rows(k[:-1][out], f[:-1][out], lead[:-1][out])
+    if last is not None and last[3]:
+        yield _rows(*(np.array([x], np.int64) for x in last[:3]))
+
+
+def _rows(key: np.ndarray, fp: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(lead)], ["key", "fp", "lead"])
+
+
+def _near(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
+    """Whether bitmaps leave it open that two sets link; the wider is folded to the other's size."""
+    if den * min(na, nb) < num * max(na, nb):
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for half in range((len(a) // len(b)).bit_length() - 1):
+        bits = len(a) * 8 >> (half + 1)
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count() * (num + den) <= (den - num) * (na + nb)
+
+
+def _open(num: int, den: int):
+    """The pairs that bitmaps leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")]
+            yield b.filter(pa.array([_near(*x, num, den) for x in zip(*cols, strict=True)], pa.bool_())).select(["a", "b"])
+
+    return run
 
 
 def _setter(width: int):
-    """Token sets of the wanted texts, once for each group they take part in."""
+    """Token sets of the wanted texts, once for each group of pairs they take part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = text_bytes(b.column("text"))
-            want, comp, blocks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "comp", "blocks"))
+            want, groups = b.column("fp").to_numpy(zero_copy_only=False), b.column("groups")
             for lo, rows, r, g in token_sets(raw, offs, width):
-                n, f = fingerprint(r, g, rows)
+                _, f = fingerprint(r, g, rows)
                 cut = np.searchsorted(r, np.arange(rows + 1))
-                out: list[list] = [[], [], [], [], []]
                 for i in np.flatnonzero(f.view(np.int64) == want[lo : lo + rows]):
-                    nb = int(blocks[lo + i])
-                    mine = int(mix(f[i : i + 1] + _K[2])[0] % U64(nb))
-                    for other in range(nb):
-                        for v, c in zip(out, (int(comp[lo + i]), min(mine, other) * nb + max(mine, other), int(n[i]), int(want[lo + i]), g[cut[i] : cut[i + 1]].tobytes()), strict=True):
-                            v.append(c)
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:4]), pa.array(out[4], pa.binary())], ["comp", "part", "n", "fp", "tokens"])
+                    mine, tokens = groups[int(lo + i)].as_py(), g[cut[i] : cut[i + 1]].tobytes()
+                    for at in range(0, len(mine), 64):
+                        part = mine[at : at + 64]
+                        cols = [pa.array([x["lead"] for x in part], pa.int64()), pa.array([x["block"] for x in part], pa.int64()), pa.array([int(want[lo + i])] * len(part), pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([tokens] * len(part), pa.binary())], ["lead", "block", "fp", "tokens"])
 
     return run
 
 
-def _links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the sets (sorted by size) under the link relation, exactly.
-
-    A pair is compared only while its ends are apart.  The bitmaps' differing bits are at most the differing tokens.
-    """
-    n = np.array([len(s) for s in sets])
-    words = max(4, min(128, 1 << max(0, int(np.ceil(np.log2(max(1, np.median(n)) * 4 / 64))))))
-    bits = np.zeros((len(sets), words), np.uint64)
-    for i, s in enumerate(sets):
-        slot = s % U64(words * 64)
-        odd = np.flatnonzero(np.bincount(slot.astype(np.int64), minlength=words * 64) & 1)
-        np.bitwise_xor.at(bits[i], odd >> 6, U64(1) << (odd & 63).astype(np.uint64))
-    root = np.arange(len(sets))
-    for i in range(len(sets) - 1, -1, -1):
-        j0 = int(np.searchsorted(n, -(-num * n[i] // den)))
-        j = np.arange(j0, i)
-        j = j[root[j] != root[i]]
-        if not len(j):
-            continue
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        j, differ = j[ok := differ * (num + den) <= (den - num) * (n[j] + n[i])], differ[ok]
-        for k in j[np.argsort(differ, kind="stable")]:
-            if root[k] == root[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if den * both >= num * (n[i] + n[k] - both):
-                root[root == root[k]] = root[i]
-                yield i, int(k)
-
-
-def _near_links(n: np.ndarray, bits: list[np.ndarray], block: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the sets (sorted by size) that bitmaps don't tell apart.
-
-    Bitmaps are folded to the narrowest of them.  In a part of two blocks only pairs across are compared; a block's
-    own pairs are another part's.
-    """
-    words = min(len(b) for b in bits)
-    flat = np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
-    cross = bool((block != block[0]).any())
-    root = np.arange(len(n))
-    for i in range(len(n) - 1, 0, -1):
-        j = np.arange(int(np.searchsorted(n, -(-num * n[i] // den))), i)
-        j = j[(root[j] != root[i]) & ((block[j] != block[i]) if cross else True)]
-        differ = np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64)
-        for k in j[differ * (num + den) <= (den - num) * (n[j] + n[i])]:
-            if root[k] != root[i]:
-                root[root == root[k]] = root[i]
-                yield i, int(k)
-
-
-def _split(num: int, den: int):
-    """Edges between the sets of each ``(comp, part)`` that bitmaps leave together, from rows sorted by both."""
-
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = sorted(rows, key=lambda r: (r[2], r[3]))
-        n, block = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
-        bits = [np.frombuffer(r[5], np.uint64) for r in rows]
-        return [(rows[i][3], rows[k][3]) for i, k in _near_links(n, bits, block, num, den)] if len(rows) > 1 else []
+def _verify(num: int, den: int):
+    """Links between the lead of each ``(lead, block)`` and its other sets, exactly; the lead's row comes first."""
 
-    return _each_part(("comp", "part", "n", "fp", "mine", "bits"), solve)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for lead, block, fp, tokens in zip(*(b.column(c).to_pylist() for c in ("lead", "block", "fp", "tokens")), strict=True):
+                if (lead, block) != at:
+                    at, own = (lead, block), None
+                if fp == lead:
+                    own = np.frombuffer(tokens, np.uint64)
+                elif own is not None:
+                    other = np.frombuffer(tokens, np.uint64)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if den * both >= num * (len(own) + len(other) - both):
+                        out.append((lead, fp))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    return run
 
-def _verify(num: int, den: int):
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        once = {}
-        for r in rows:
-            once.setdefault(r[3], r)
-        rows = sorted(once.values(), key=lambda r: (r[2], r[3]))
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        return [(rows[i][3], rows[j][3]) for i, j in _links(sets, num, den)] if len(rows) > 1 else []
 
-    return _each_part(("comp", "part", "n", "fp", "tokens"), solve)
+def _across(num: int, den: int, limit: int):
+    """Pairs ``(a, b, more)`` of sets of one ``(key, part)`` in different components that bitmaps leave open.
 
+    For each set outside the group's largest component and each component, the ``limit`` pairs with the fewest
+    differing bits; ``more`` says that there were others.  In a part of two blocks only pairs across are compared.
+    """
 
-def _each_part(columns: tuple[str, ...], solve):
-    """``solve`` on the rows of each ``(comp, part)``, the first two of ``columns``."""
+    def solve(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+        fp, n, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5))
+        names, group, size = np.unique(comp, return_inverse=True, return_counts=True)
+        cross = bool((block != block[0]).any())
+        words = min(len(r[6]) for r in rows) // 8
+        flat = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[6], np.uint64).reshape(-1, words), axis=0) for r in rows])
+        big = group == int(size.argmax())
+        place = np.arange(len(rows))
+        for i in np.flatnonzero(~big):
+            j = np.flatnonzero((group != group[i]) & (big | (place < i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+            if cross:
+                j = j[block[j] != block[i]]
+            differ = np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64)
+            ok = differ * (num + den) <= (den - num) * (n[j] + n[i])
+            j, differ = j[ok], differ[ok]
+            order = np.lexsort((fp[j], differ, group[j]))
+            j = j[order]
+            start = np.ones(len(j), bool)
+            start[1:] = group[j[1:]] != group[j[:-1]]
+            first = np.flatnonzero(start)
+            rank = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
+            more = np.repeat(np.diff(np.append(first, len(j))) > limit, np.diff(np.append(first, len(j))))
+            for k, m in zip(j[rank < limit].tolist(), more[rank < limit].tolist(), strict=True):
+                yield int(min(fp[i], fp[k])), int(max(fp[i], fp[k])), bool(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def pairs(found: list[tuple]) -> pa.RecordBatch:
+            cols = [[x[k] for x in found] for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
+
         for b in batches:
-            out = []
-            for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            found: list[tuple] = []
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "part", "fp", "n", "comp", "mine", "bits")), strict=True):
                 if held and held[-1][:2] != r[:2]:
-                    out += solve(held)
+                    found += set(solve(held))
                     held = []
                 held.append(r)
-            yield _pairs(out)
+            yield pairs(found)
         if held:
-            yield _pairs(solve(held))
+            yield pairs(list(solve(held)))
 
     return run
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _compare(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link: by size and bitmaps first, then by whole token sets.
+
+    A set named in many pairs is split into blocks of ``BLOCK`` partners; its tokens go once to each.
+    """
+    spark = pairs.sparkSession
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_open(num, den), "a long, b long")
+    left = materialize(left, "open")
+    sizes = left.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    dealt = left.join(broadcast_if_small(sizes, 200_000), "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    member = dealt.select(F.col("b").alias("fp"), F.struct(F.col("a").alias("lead"), "block").alias("g"))
+    leads = dealt.select(F.col("a").alias("fp"), F.struct(F.col("a").alias("lead"), "block").alias("g")).distinct()
+    wanted = member.union(leads).groupBy("fp").agg(F.collect_list("g").alias("groups"))
+    wanted = materialize(wanted.join(sets.select("fp", "doc_id"), "fp"), "wanted")
+    tokens = narrow.join(broadcast_if_small(wanted, 100_000), "doc_id").select("text", "fp", "groups").mapInArrow(
+        _setter(width), "lead long, block long, fp long, tokens binary"
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = tokens.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", F.col("fp") != F.col("lead")).mapInArrow(_verify(num, den), "a long, b long")
+    found = materialize(found, "links")
+    discard(left)
+    discard(wanted)
+    return found
 
 
 def jaccard_components(
@@ -394,8 +482,9 @@ def jaccard_components(
     ``doc_id`` take no part and have a null component.  Rows that repeat a ``doc_id`` are judged each.  Extra columns
     are ignored; an empty table gives no rows.
 
-    Shingles and sets are 64-bit hashes; keys, which only propose candidates, have 56 bits.  A key shared by many sets is pre-aggregated in each task and yields one
-    candidate edge a set; groups over ``BLOCK`` sets are compared in pairs of blocks, by bitmaps first.
+    Words, shingles and sets are 64-bit hashes; keys, which only propose candidates, have 56 bits.  A frequent key is
+    left out where the pigeonhole allows it; one that stays costs a row a set, and a second comparison only while its
+    sets are in different components, in parts of two blocks of ``BLOCK`` sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -403,39 +492,62 @@ def jaccard_components(
     profile = materialize(narrow.mapInArrow(_profile(width), "doc_id long, n long, fp long, bits binary"), "profile")
     known = profile.where("n > 0 and doc_id is not null")
     bands = size_bands(num, den, known.agg(F.max("n")).first()[0] or 1)
-    low = f"array({','.join(map(str, bands))})"
-    own = F.expr(f"aggregate({low}, -1, (k, x) -> if(n >= x, k + 1, k))")
+    own = F.expr(f"aggregate(array({','.join(map(str, bands))}), -1, (k, x) -> if(n >= x, k + 1, k))")
     counts = {r.k: r["count"] for r in known.groupBy(own.alias("k")).count().collect()}  # a row a band
     schemes = [allocate(lo, hi - 1, counts.get(k, 0) + counts.get(k + 1, 0), num, den) for k, (lo, hi) in enumerate(zip(bands, bands[1:], strict=False))]
+    texts = narrow.where("doc_id is not null and text is not null").select("text")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = narrow.where("doc_id is not null and text is not null").select("text").mapInArrow(_indexer(width, bands, schemes, num, den, parts), "part int, block binary")
-    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpack, "edge boolean, a long, b long").sortWithinPartitions("a", "b")
-    edges = materialize(rows.mapInArrow(_meet, "a long, b long").distinct(), "candidates")
-    groups = connected_components(edges).select("node", F.col("component").alias("comp"))
-    sets = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("k", own)
-    below = F.when((F.col("k") > 0) & F.expr(f"{den} * (element_at({low}, k + 1) - 1) >= {num} * n"), F.col("k") - 1)
-    salts = F.array(*[F.lit(int(x)) for x in _NODE[: len(bands)].view(np.int64)])
-    nodes = sets.withColumn("k", F.explode(F.array_compact(F.array(F.col("k"), below)))).withColumn("node", F.col("fp").bitwiseXOR(F.element_at(salts, F.col("k") + 1)))
-    split = _members(nodes, groups, "node").withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
-    split = split.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    split = split.select("comp", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), "n", "fp", "mine", "bits")
-    near = split.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_split(num, den), "a long, b long")
-    groups = connected_components(near).select(F.col("node").alias("fp"), F.col("component").alias("comp"))
-    members = materialize(_members(sets.drop("bits"), groups, "fp").select("doc_id", "fp", "comp", "blocks"), "members")
-    tokens = narrow.join(broadcast_if_small(members, 200_000), "doc_id").select("text", "fp", "comp", "blocks").mapInArrow(
-        _setter(width), "comp long, part long, n long, fp long, tokens binary"
-    )
-    found = tokens.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_verify(num, den), "a long, b long")
-    labels = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    weight = key_weights(texts, width, bands, schemes, num, den, parts)
+    packed = texts.mapInArrow(_indexer(width, bands, schemes, num, den, weight, parts), "part int, block binary")
+    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpack, "key long, fp long").sortWithinPartitions("key", "fp")
+    index = materialize(rows.mapInArrow(_live, "key long, fp long, lead long"), "index")
+    sets = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(index.select("fp").distinct(), "fp", "left_semi"), "sets")
+    met = index.where("fp <> lead").groupBy("fp", "lead").agg(F.count("*").alias("c"))
+    first = met.groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), "b")
+    links = _compare(first, sets, narrow, width, num, den)
+    tested, limit, cuts = None, 4, [links]
+    while True:
+        labels = materialize(connected_components(links), "labels")
+        pairs = materialize(_open_pairs(index, sets, labels, num, den, limit), "pairs")
+        more = pairs.where("more").limit(1).count() > 0
+        pairs = pairs.select("a", "b").distinct()
+        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        tested = pairs if tested is None else tested.union(fresh)
+        found = _compare(fresh, sets, narrow, width, num, den)
+        cuts += [labels, found]
+        if found.limit(1).count() > 0:
+            links = links.union(found)
+        elif not more:
+            break
+        else:
+            limit *= 8
+            continue
+        if not more:
+            labels = materialize(connected_components(links), "labels")
+            break
+        limit *= 8
+    labels = labels.select(F.col("node").alias("fp"), F.col("component").alias("root"))
     labelled = profile.drop("bits").join(labels, "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
     least = labelled.where("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "root", "left").select(
+    out = labelled.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )
-
-
-def _members(sets: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """``sets`` with the ``comp`` of their group and its number of ``blocks``."""
-    groups = materialize(groups, "groups")
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    return sets.join(groups.join(sizes, "comp"), key)
+    out = materialize(out, "components")
+    for cut in (profile, index, sets, *cuts):
+        discard(cut)
+    return out
+
+
+def _open_pairs(index: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """``(a, b, more)``: pairs across components at keys that have several of them."""
+    labels = labels.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+    of = index.select("key", "fp").join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    of = materialize(of, "labelled")
+    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.col("f") / BLOCK).cast("long").alias("blocks"))
+    rows = of.join(mixed, "key").join(sets.select("fp", "n", "bits"), "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    part = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part")
+    rows = rows.select("key", part, "fp", "n", "comp", "mine", "bits")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_across(num, den, limit), "a long, b long, more boolean").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrazzo.plans.durable import broadcast_if_small, discard, materialize
+
 from .common import ascii_lower
 
 #: What is stripped at both ends of a line: space and 0x09 to 0x0D.
@@ -31,29 +33,27 @@ def dedup_lines(
     Null or empty text is one empty line.  Rows repeating a ``doc_id`` count once and are each judged; a row with a
     null ``doc_id`` counts for no key and keeps its lines.  Extra columns are ignored, an empty table gives no rows.
 
-    Only hashes move for the counting, pre-aggregated per task; a line held by very many documents meets in one
-    count row, and its copies are spread by document.
+    Keys are compared by 128 bits of hash.  Only hashes and positions move for the counting, pre-aggregated per task;
+    lines of a key that very many documents hold are spread by AQE or meet a broadcast of the repeated keys.  Texts move
+    once, to their dropped positions.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
-    hashes = F.array_distinct(
-        F.transform(F.filter(F.transform("lines", _key), lambda k: F.char_length(k) >= min_chars), _hash)
-    )
-    held = lines.where("doc_id is not null").select("doc_id", F.explode(hashes).alias("h")).select("doc_id", "h.*")
-    common = (
-        held.groupBy("h1", "h2")
-        .agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
-        .where(F.col("n") >= min_docs)
-    )
-    drops = (
-        held.join(common, ["h1", "h2"])
-        .where("doc_id < last")
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines")
     )
-    gone = lambda line: F.array_contains("drops", _hash(_key(line))) & (F.char_length(_key(line)) >= min_chars)
-    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~gone(x)))
+    keys = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), _key(x).alias("key")))
+    long_keys = F.transform(F.filter(keys, lambda k: F.char_length(k.key) >= min_chars), lambda k: F.struct(k.pos.alias("pos"), _hash(k.key).alias("h")))
+    held = rows.where("doc_id is not null").select("doc_id", "t", F.explode(long_keys).alias("k")).select("doc_id", "t", "k.pos", "k.h.h1", "k.h.h2")
+    held = materialize(held, "lines")
+    common = held.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    common = materialize(common.select("h1", "h2", "last"), "common")
+    drops = held.join(broadcast_if_small(common, 300_000), ["h1", "h2"]).where("doc_id < last").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("drops"))
+    drops = materialize(drops, "drops")
+    discard(held)
+    discard(common)
+    left = F.transform(F.array_except(F.expr("sequence(0, size(lines) - 1)"), "drops"), lambda i: F.get("lines", i))
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(left)
     return (
-        lines.join(drops, "doc_id", "left")
+        rows.join(drops, ["doc_id", "t"], "left")
         .select("doc_id", F.size("lines").alias("n_lines"), kept.alias("kept"))
         .select(
             "doc_id",

@@ -25,10 +25,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with their scores."""
+    """Every document with its scores, and whether the classifier keeps it."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("score >= 0.5")
+    return quality.score_quality(docs, model).withColumn("keep", F.col("score") >= 0.5)
 
 
 def op5_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ Suffixes are sampled at anchors.  A window of ``length`` bytes has one anchor, t
 with the least hash, so equal windows have equal anchors at equal places, and only suffixes that begin with the same
 gram need comparing:
 
-1. Every anchor is a row (hash of its gram, hash of all bytes its windows cover).  Grams that occur once are gone.
+1. Every anchor is a row (hash of its gram, 128-bit hash of all bytes its windows cover).  Grams that occur once go.
 2. Anchors whose whole stretch occurs again repeat as a whole: no bytes need to move.
-3. Of the others (edges of repeats), the stretches are range-partitioned by their leading bytes with sampled
-   splitters; buckets are sorted by multikey quicksort on 8-byte characters, and equal neighbours are repeats.  Rows
-   with equal leading bytes share a bucket, so no comparison crosses a boundary.
+3. Of the others (edges of repeats), one of each different stretch is range-partitioned by its leading bytes with
+   sampled splitters; buckets are sorted by multikey quicksort on 8-byte characters, and equal neighbours are repeats.
+   Rows with equal leading bytes share a bucket, so no comparison crosses a boundary.
+4. Leading bytes of more than ``HOT`` different stretches would make too large a bucket: their windows are dealt out
+   and counted one by one, by 128-bit hash.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.plans.durable import materialize
+from terrazzo.plans.durable import broadcast_if_small, discard, materialize
 
-from .common import U64, _BYTE_VALUE, _powers, chunks, mix, small_batches, text_bytes
+from .common import U64, chunks, mix, small_batches, span_hashes, text_bytes
 
 GRAM = 48
 _C = mix(np.arange(11, 17, dtype=np.uint64)) | U64(1)
 _INDEX = U64((1 << 24) - 1)
 #: Longest stretch of one text handled at once; a longer text is cut into stretches that overlap by a window.
 STRETCH = 1 << 22
+#: Different stretches of one gram that are compared in one bucket.
+HOT = 50_000
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -54,9 +58,9 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``(row, gram hash, stretch hash, first window, last window, anchor)``, places counted from ``raw``'s start."""
+    """``(row, gram hash, two stretch hashes, first window, last window, anchor)``, places counted from ``raw``'s start."""
     n = len(raw)
-    none = (np.zeros(0, np.int64),) * 6
+    none = (np.zeros(0, np.int64),) * 7
     if n < length:
         return none
     end = np.repeat(offsets[1:], np.diff(offsets))
@@ -70,12 +74,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     new[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)
     s0, a = windows[new], at[new]
     s1 = windows[np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1)]
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[raw] * power[:n], out=total[1:])
-    h = (total[s1 + length] - total[s0]) * inverse[s0]
-    h = mix(h + ((s1 - s0) * 1024 + (a - s0)).astype(np.uint64) * _C[0])
-    return np.searchsorted(offsets, s0, "right") - 1, grams[a], h, s0, s1, a
+    shape = ((s1 - s0) * 4096 + (a - s0)).astype(np.uint64) * _C[0]
+    h1, h2 = (mix(span_hashes(raw, s0, s1 + length, seed) + shape) for seed in (1, 2))
+    return np.searchsorted(offsets, s0, "right") - 1, grams[a], h1, h2, s0, s1, a
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,10 +96,10 @@ def _sampler(length: int):
             raw, offs = text_bytes(b.column(2))
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, moved, part, part_offs in _pieces(raw, offs, length):
-                row, gram, whole, s0, s1, a = anchors(part, part_offs, length)
+                row, gram, whole, whole2, s0, s1, a = anchors(part, part_offs, length)
                 place = ((s0 - part_offs[row] + moved) << 24) | ((s1 - s0) << 12) | (a - s0)
-                cols = [gram.view(np.int64), whole.view(np.int64), d[first + row], t[first + row], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gram", "whole", "d", "t", "place"])
+                cols = [gram.view(np.int64), whole.view(np.int64), whole2.view(np.int64), d[first + row], t[first + row], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gram", "whole", "whole2", "d", "t", "place"])
 
     return run
 
@@ -122,6 +123,24 @@ def _cutter(length: int):
     return run
 
 
+def _windows(length: int):
+    """Hashes of the single windows of the listed anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offs = text_bytes(b.column("text"))
+            for i, (d, t, marks) in enumerate(zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("edges").to_pylist(), strict=True)):
+                place = np.array([m["place"] for m in marks])
+                s0, span = place >> 24, (place >> 12) & 4095
+                at = np.repeat(s0, span + 1) + np.arange(int((span + 1).sum())) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
+                single = np.repeat([m["single"] for m in marks], span + 1)
+                part = raw[offs[i] : offs[i + 1]]
+                h = [pa.array(span_hashes(part, at, at + length, seed).view(np.int64)) for seed in (3, 4)]
+                yield pa.RecordBatch.from_arrays([*h, pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array(at), pa.array(single)], ["h1", "h2", "d", "t", "lo", "single"])
+
+    return run
+
+
 def multikey_equal(buffer: bytes, places: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
     """Which of the strings ``buffer[p:p+length]`` equal another of their group: three-way quicksort by 8-byte characters."""
     out = np.zeros(len(places), bool)
@@ -235,7 +254,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
     counting) is removed, as judged on the input; matches never cross texts.  ``kept`` is null unless asked for.
 
     Null text is empty.  Rows that repeat a ``doc_id`` are texts of their own, a null ``doc_id`` stays null.  Texts
-    shorter than ``length`` keep all bytes.  Extra columns are ignored; an empty table gives no rows.
+    shorter than ``length`` keep all bytes.  Text of one repeated short pattern has an anchor a byte, so it costs some 40 bytes a byte.  Extra columns are ignored; an empty table gives no rows.
 
     Copies, however many, cost a row an anchor and meet only in counts, pre-aggregated per task.
     """
@@ -248,21 +267,40 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("d"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"),
     )
-    every = rows.select("d", "t", "text").mapInArrow(_sampler(length), "gram long, whole long, d long, t long, place long")
-    twice = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
-    live = materialize(every.join(twice.select("gram", (F.col("w0") != F.col("w1")).alias("mixed")), "gram"), "anchors")
-    counts = live.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("rep"), F.first("mixed").alias("mixed"))
+    every = rows.select("d", "t", "text").mapInArrow(_sampler(length), "gram long, whole long, whole2 long, d long, t long, place long")
+    one = F.struct("whole", "whole2")
+    twice = every.groupBy("gram").agg(F.count("*").alias("n"), F.min(one).alias("w0"), F.max(one).alias("w1")).where("n > 1")
+    # written, so that the join below can split the rows of a gram that very many texts share
+    twice = materialize(twice.select("gram", (F.col("w0") != F.col("w1")).alias("mixed")), "grams")
+    live = materialize(every.join(broadcast_if_small(twice, 300_000), "gram"), "anchors")
+    counts = live.groupBy("gram", "whole", "whole2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("rep"), F.first("mixed").alias("mixed"))
     counts = materialize(counts, "stretches")
-    again = live.join(counts.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
+    again = live.join(counts.where("n > 1").select("gram", "whole", "whole2"), ["gram", "whole", "whole2"], "left_semi")
     spans = again.select("d", "t", F.shiftright("place", 24).alias("lo"), F.expr(f"shiftright(place, 24) + (shiftright(place, 12) & 4095) + {length}").alias("hi"))
-    edges = counts.where("mixed").groupBy("rep.d", "rep.t").agg(F.collect_list(F.struct("rep.place", (F.col("n") == 1).alias("single"))).alias("edges"))
+    hot = materialize(counts.where("mixed").groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("gram"), "hot")
+    mixed = counts.where("mixed")
+    edge = F.collect_list(F.struct("rep.place", (F.col("n") == 1).alias("single"))).alias("edges")
+    some = hot.limit(1).count() > 0
+    edges = (mixed.join(broadcast_if_small(hot), "gram", "left_anti") if some else mixed).groupBy("rep.d", "rep.t").agg(edge)
     edges = materialize(edges, "edges")
     stretches = rows.join(edges, ["d", "t"]).select("d", "t", "text", "edges").mapInArrow(
         _cutter(length), "lead binary, body binary, d long, t long, place long, single boolean"
     )
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = stretches.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_bucket(length), "d long, t long, lo long, hi long")
-    marks = spans.union(found).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    marks = materialize(marks, "marks")
+    marks = spans.union(found)
+    cuts = [twice, live, counts, hot, edges]
+    if some:
+        listed = mixed.join(broadcast_if_small(hot), "gram", "left_semi").groupBy("rep.d", "rep.t").agg(edge)
+        windows = rows.join(listed, ["d", "t"]).select("d", "t", "text", "edges").mapInArrow(_windows(length), "h1 long, h2 long, d long, t long, lo long, single boolean")
+        windows = materialize(windows, "windows")
+        cuts.append(windows)
+        repeated = materialize(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
+        cuts.append(repeated)
+        hit = windows.where("single").join(repeated, ["h1", "h2"], "left_semi")
+        marks = marks.union(hit.select("d", "t", "lo", (F.col("lo") + length).alias("hi")))
+    marks = materialize(marks.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
+    for cut in cuts:
+        discard(cut)
     done = rows.join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
     return done.mapInArrow(_assemble(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

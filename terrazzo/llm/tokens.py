@@ -4,8 +4,8 @@ One record is one block: ids of whole documents, in ascending ``doc_id`` order.
 frequency table (20-bit, of the group's own ids); a block is cut into segments of interleaved lanes.  A segment's final
 lane states are a checkpoint: decoding can begin at any of them, and any block can be decoded alone.
 
-Block layout, little-endian: magic ``RANS1``, then u32 n_docs, n_ids, n_segments, crc32 of the ids; then per document
-i64 doc_id and u32 n_ids; then per segment u32 n_ids, n_words, crc32 of its ids, its lane states (u64 each) and its
+Block layout, little-endian: magic ``RANS2``, then u32 n_docs, n_null, n_ids, n_segments, crc32 of the ids; then per
+document i64 doc_id (no id for the first n_null, written as 0) and u32 n_ids; then per segment u32 n_ids, n_words, crc32 of its ids, its lane states (u64 each) and its
 words (u32 each).
 """
 
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from terrazzo.plans.durable import materialize, shared_dir
 
-from .common import U64, _powers, chunks, mix, small_batches, text_bytes
+from .common import U64, chunks, same_spans, small_batches, span_hashes, text_bytes
 
-MAGIC = b"RANS1"
+MAGIC = b"RANS2"
 BITS = 20
 LANES = 1024
 SEGMENT = 1 << 17
@@ -116,9 +116,9 @@ def unpack_table(data: bytes) -> np.ndarray:
     return out
 
 
-def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> bytes:
+def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, freq: np.ndarray, start: np.ndarray, n_null: int = 0) -> bytes:
     cuts = range(0, len(ids), SEGMENT)
-    out = [MAGIC, struct.pack("<4I", len(doc_ids), len(ids), len(cuts), zlib.crc32(ids.astype("<u4").tobytes()))]
+    out = [MAGIC, struct.pack("<5I", len(doc_ids), n_null, len(ids), len(cuts), zlib.crc32(ids.astype("<u4").tobytes()))]
     out += [doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes()]
     for lo in cuts:
         part = ids[lo : lo + SEGMENT]
@@ -128,12 +128,12 @@ def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, freq
     return b"".join(out)
 
 
-def decode_block(data: bytes, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(doc_ids, lengths, ids)``; raises ValueError when a checksum doesn't hold."""
+def decode_block(data: bytes, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``(doc_ids, lengths, ids, n_null)``; raises ValueError when a checksum doesn't hold."""
     if data[:5] != MAGIC:
         raise ValueError("not a block")
-    n_docs, n_ids, n_seg, crc = struct.unpack_from("<4I", data, 5)
-    at = 21
+    n_docs, n_null, n_ids, n_seg, crc = struct.unpack_from("<5I", data, 5)
+    at = 25
     doc_ids = np.frombuffer(data, "<i8", n_docs, at)
     lengths = np.frombuffer(data, "<u4", n_docs, at + 8 * n_docs)
     at += 12 * n_docs
@@ -150,7 +150,7 @@ def decode_block(data: bytes, tables: tuple[np.ndarray, np.ndarray, np.ndarray])
     ids = np.concatenate(parts)
     if len(ids) != n_ids or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("block checksum")
-    return doc_ids, lengths, ids
+    return doc_ids, lengths, ids, n_null
 
 
 # --- tokenizing ------------------------------------------------------------------------------------------------
@@ -172,32 +172,41 @@ def _set(values: list[int]) -> np.ndarray:
 
 
 _STARTS, _ENDS = _set(_BLANK_START), _set(_BLANK_END)
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F))
-_VALUES2 = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x165667B19E3779F9))
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE file of the tokenizers library.
+    """Encodes texts with any file of the tokenizers library, without special tokens of its own.
 
-    A text is cut before single spaces, where the library's own pre-tokenizer always cuts; each distinct piece goes
-    through the library once in a worker's life.  Pieces seen are kept as 128-bit hashes with their ids.  Texts in
-    which a cut could matter (runs of white space around a space, special tokens) are encoded whole.
+    Byte-level BPE with the library's own pattern cuts before every single space, so there a text is cut into pieces
+    and each distinct piece goes through the library's model once in a worker's life; pieces are remembered by their
+    bytes.  Texts in which a cut could matter (runs of white space around a space, added tokens), and all texts of
+    other kinds of tokenizer, are encoded whole.
     """
 
-    #: Pieces remembered: 16 bytes of hash, 8 of place and their ids each.
-    REMEMBER = 4_000_000
+    #: Pieces remembered: some 150 bytes each.
+    REMEMBER = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = self._cuts_at_spaces(path)
         self.cut = self._pattern()
         self.alphabet = "".join(chr(_ALPHABET[b]) for b in range(256))
         self.words: dict[str, list[int]] = {}
         self._forget()
 
+    def _cuts_at_spaces(self, path: str) -> bool:
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        how = spec.get("pre_tokenizer") or {}
+        plain = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
+        return bool(plain and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("normalizer")) and all(t[:1] == b"<" for t in self.added)
+
     @staticmethod
     def _pattern():
         import public_tokenizers
@@ -206,9 +215,9 @@ class Encoder:
         return regex.compile(public_tokenizers.PATTERN)
 
     def _forget(self) -> None:
-        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.known: dict[bytes, int] = {}
+        self.place, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _word(self, word: str) -> list[int]:
         found = self.words.get(word)
@@ -219,89 +228,83 @@ class Encoder:
             self.words[word] = found
         return found
 
-    def _learn(self, h1: np.ndarray, h2: np.ndarray, pieces: list[bytes]) -> None:
-        """Encode new distinct pieces (sorted by ``h1``) and merge them into what is known."""
-        if len(self.h1) + len(h1) > self.REMEMBER:
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Places in ``place`` and ``size`` of distinct pieces; new ones are encoded."""
+        if len(self.known) + len(pieces) > self.REMEMBER:
             self._forget()
-        sizes, out = [], []
+        out = []
         for p in pieces:
-            n = len(out)
-            for w in self.cut.findall(p.decode()):
-                out += self._word(w)
-            sizes.append(len(out) - n)
-        size = np.array(sizes, np.int32)
-        place = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
-        while self.used + len(out) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
-        self.ids[self.used : self.used + len(out)] = out
-        self.used += len(out)
-        at = np.searchsorted(self.h1, h1)
-        self.h1, self.h2 = np.insert(self.h1, at, h1), np.insert(self.h2, at, h2)
-        self.place, self.size = np.insert(self.place, at, place), np.insert(self.size, at, size)
-
-    def _known(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.h1, h1)
-        ok = at < len(self.h1)
-        ok[ok] = (self.h1[at[ok]] == h1[ok]) & (self.h2[at[ok]] == h2[ok])
-        return at, ok
+            n = self.known.get(p)
+            if n is None:
+                found = [i for w in self.cut.findall(p.decode()) for i in self._word(w)]
+                n = self.known[p] = len(self.known)
+                if n == len(self.place):
+                    self.place, self.size = np.append(self.place, np.zeros(n, np.int64)), np.append(self.size, np.zeros(n, np.int64))
+                while self.used + len(found) > len(self.ids):
+                    self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+                self.ids[self.used : self.used + len(found)] = found
+                self.place[n], self.size[n] = self.used, len(found)
+                self.used += len(found)
+            out.append(n)
+        return np.array(out, np.int64)
+
+    def _whole(self, raw: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Texts that must not be cut: those with a place in ``odd`` or a special token's beginning."""
+        whole = np.zeros(len(offsets) - 1, bool)
+        for token in self.added:
+            head = np.frombuffer(token[:2], np.uint8)
+            at = raw[: len(raw) - len(head) + 1] == head[0]
+            for k in range(1, len(head)):
+                at = at & (raw[k : len(raw) - len(head) + 1 + k] == head[k])
+            odd[: len(at)] |= at
+        if odd.any():
+            whole[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        return whole
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)`` of the texts ``raw[offsets[i]:offsets[i+1]]``."""
         n, rows = len(raw), len(offsets) - 1
         if n == 0:
-            return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+            return np.zeros(0, np.int64), np.zeros(rows, np.int64)
+        if not self.cuts:
+            return self._by_text(raw, offsets, np.ones(rows, bool), np.zeros(0, np.int64), np.zeros(rows, np.int64))
         space = raw == 32
-        first = offsets[:-1][offsets[1:] > offsets[:-1]]
+        full = offsets[1:] > offsets[:-1]
         begin, finish = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        begin[first] = True
-        finish[offsets[1:][offsets[1:] > offsets[:-1]]] = True
+        begin[offsets[:-1][full]] = True
+        finish[offsets[1:][full]] = True
         before = np.zeros(n, bool)
         before[1:] = _ENDS[raw[:-1]]
         after = np.ones(n, bool)
         after[:-1] = _STARTS[raw[1:]]
-        odd = space & before & ~begin[:n] & (after | finish[1:])
-        if any(s.startswith("<|") for s in self.specials):
-            odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
-        whole = np.zeros(rows, bool)
-        if odd.any():
-            whole[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        whole = self._whole(raw, offsets, space & before & ~begin[:n] & (after | finish[1:]))
         s = np.flatnonzero(space | begin[:n])
         row = np.searchsorted(offsets, s, "right") - 1
         e = np.append(s[1:], n)
-        power, inverse = _powers(n + 1)
-        h = []
-        for values in (_VALUES, _VALUES2):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(values[raw] * power[:n], out=total[1:])
-            h.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
         plain = ~whole[row]
-        s, e, row, h1, h2 = s[plain], e[plain], row[plain], h[0][plain], h[1][plain]
-        u1, at, back = np.unique(h1, return_index=True, return_inverse=True)
-        u2 = h2[at]
-        if not np.array_equal(u2[back], h2):
-            raise ValueError("two pieces share a 64-bit hash")
-        _, ok = self._known(u1, u2)
-        if not ok.all():
-            new = at[~ok]
-            body = raw.tobytes()
-            if len(self.h1) + len(new) > self.REMEMBER:
-                self._forget()
-                new, ok = at, np.zeros(len(at), bool)
-            self._learn(u1[~ok], u2[~ok], [body[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
-        where, ok = self._known(u1, u2)
-        if not ok.all():
-            raise ValueError("two pieces share a 64-bit hash")
-        size = self.size[where][back].astype(np.int64)
+        s, e, row = s[plain], e[plain], row[plain]
+        _, at, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
+        differ = ~same_spans(raw, s, e, s[at][back], e[at][back])
+        if differ.any():  # different pieces with one hash: their texts aren't cut
+            whole[row[differ]] = True
+            plain = ~whole[row]
+            s, e, row = s[plain], e[plain], row[plain]
+            _, at, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
+        body = raw.tobytes()
+        which = self._numbers([body[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])[back]
+        size = self.size[which]
         counts = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
-        total = int(size.sum())
         ends = np.cumsum(size)
-        pick = np.arange(total) + np.repeat(self.place[where][back] - (ends - size), size)
-        ids = self.ids[pick].astype(np.int32)
+        pick = np.arange(int(size.sum())) + np.repeat(self.place[which] - (ends - size), size)
+        return self._by_text(raw, offsets, whole, self.ids[pick].astype(np.int64), counts)
+
+    def _by_text(self, raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)`` with the texts marked in ``whole`` put through the library."""
         if not whole.any():
             return ids, counts
         w = np.flatnonzero(whole)
         texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in w]
-        coded = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        coded = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = np.split(ids, np.cumsum(counts)[:-1])
         for i, c in zip(w, coded, strict=True):
             split[i], counts[i] = c, len(c)
@@ -334,11 +337,11 @@ def _writer(path: str, end_id: int):
         from pyspark import TaskContext
 
         enc, part, group = encoder(path), TaskContext.get().partitionId(), 0
-        docs, lens, ids, held = [], [], [], 0
+        docs, lens, ids, none, held = [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, lens, ids, held, group
-            d, n, x = np.concatenate(docs), np.concatenate(lens), np.concatenate(ids)
+            nonlocal docs, lens, ids, none, held, group
+            d, n, x, null = np.concatenate(docs), np.concatenate(lens), np.concatenate(ids), np.concatenate(none)
             freq = quantize(np.bincount(x))
             f, start, _ = _tables(freq)
             table, ends = pack_table(freq), np.cumsum(n)
@@ -346,19 +349,22 @@ def _writer(path: str, end_id: int):
             while lo < len(d):
                 hi = max(lo + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
                 to = int(ends[hi - 1])
-                data = encode_block(d[lo:hi], n[lo:hi], x[at:to], f, start)
-                row = [(part << 32) + group, k, int(d[lo]), int(d[hi - 1]), hi - lo, to - at, table, data]
+                data = encode_block(d[lo:hi], n[lo:hi], x[at:to], f, start, int(null[lo:hi].sum()))
+                ends_of = [None if null[j] else int(d[j]) for j in (lo, hi - 1)]
+                row = [(part << 32) + group, k, *ends_of, hi - lo, to - at, table, data]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], _FILE.fieldNames())
                 lo, at, k = hi, to, k + 1
-            docs, lens, ids, held, group = [], [], [], 0, group + 1
+            docs, lens, ids, none, held, group = [], [], [], [], 0, group + 1
 
         for b in batches:
             raw, offs = text_bytes(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(offs):
                 got, count = enc.encode(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 with_end = np.insert(got, np.cumsum(count), end_id)
                 docs.append(doc[lo:hi].astype(np.int64))
+                none.append(null[lo:hi])
                 lens.append(count + 1)
                 ids.append(with_end.astype(np.int32))
                 held += len(with_end)
@@ -375,9 +381,9 @@ def _in_order(docs: DataFrame) -> bool:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, ok = None, None, True
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if len(x):
-                ok = ok and bool((np.diff(x) > 0).all()) and (hi is None or x[0] > hi)
+                ok = ok and not b.column(0).null_count and bool((np.diff(x) > 0).all()) and (hi is None or x[0] > hi)
                 lo, hi = (int(x[0]) if lo is None else lo), int(x[-1])
         if lo is not None:
             yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([hi]), pa.array([ok])], ["lo", "hi", "ok"])
@@ -389,18 +395,19 @@ def _in_order(docs: DataFrame) -> bool:
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encode every document and write the blocks, in ascending ``doc_id`` order; returns the folder.
 
-    Null text is empty; an empty document is the end id alone.  Rows without a ``doc_id`` aren't written.  Rows repeating a ``doc_id``
-    are written each, side by side.  Extra columns are ignored; an empty table gives a folder without blocks.  A
+    Null text is empty; an empty document is the end id alone.  Rows without a ``doc_id`` come first, in order of a
+    hash of their text; so do rows that repeat a ``doc_id``, side by side.  Extra columns are ignored; an empty table gives a folder without blocks.  A
     very long text is a block of its own, in several segments.
 
     Where the table's own splits already ascend, blocks are written from them; else documents are range-partitioned.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not _in_order(narrow):
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        narrow = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        # the hash deals out rows of one id, and rows without any
+        narrow = narrow.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     import uuid
 
     path = f"{shared_dir(spark).rstrip('/')}/terrazzo/tokens-{uuid.uuid4().hex}"
@@ -419,11 +426,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, data, base in zip(b.column("freqs"), b.column("data"), b.column("base"), strict=True):
             if (t := table.as_py()) != known:
                 known, tables = t, _tables(unpack_table(t))
-            doc, n, ids = decode_block(data.as_py(), tables)
+            doc, n, ids, n_null = decode_block(data.as_py(), tables)
             ends = np.cumsum(n.astype(np.int64))
             body = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(body[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ends - n + base.as_py()), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], _READ.fieldNames())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.arange(len(doc)) < n_null), pa.array(ends - n + base.as_py()), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], _READ.fieldNames())
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -438,6 +445,7 @@ def read_ids(spark, path: str) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(path)
     heads = files.select("group", "block", "first_doc", "n_ids")
     groups = heads.groupBy("group").agg(F.min("first_doc").alias("first"), F.sum("n_ids").alias("n"))
+    # a row a group of up to GROUP ids: at 100 TB some two million small rows in the one task of this window
     groups = groups.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("first", "group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inner = F.coalesce(F.sum("n_ids").over(W.partitionBy("group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = heads.withColumn("inner", inner).join(groups, "group").select("group", "block", (F.col("inner") + F.col("before")).alias("base"))

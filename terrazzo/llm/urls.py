@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,40 +50,42 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return link.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """``(host, kind, value)``: personalised PageRank of ``seeds(host, kind, value)``.
 
     ``trust`` flows along the links, ``distrust`` against them; each kind's seed values sum to 1.  What reaches a host
-    without onward links returns to the seeds.  Hosts that nothing reaches have no row.
+    without onward links returns to the seeds.  Hosts that nothing reaches have no row.  Rounds go on until less than
+    ``tolerance`` is left to move: each moves at most ``damping`` of what the one before did, so they end.
     """
-    out = F.sum("n").over
-    from pyspark.sql import Window as W
-
-    along = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("trust").alias("kind"), (F.col("n") / out(W.partitionBy("src"))).alias("w"))
-    back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit("distrust").alias("kind"), (F.col("n") / out(W.partitionBy("dst"))).alias("w"))
-    flow = materialize(along.union(back), "flow")
+    ends = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("trust").alias("kind"), "n").union(
+        edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit("distrust").alias("kind"), "n")
+    )
+    # sums are written, so that the join can split the links of a host that very many link to
+    sums = materialize(ends.groupBy("host", "kind").agg(F.sum("n").alias("all")), "degrees")
+    flow = materialize(ends.join(sums, ["host", "kind"]).select("host", "kind", "to", (F.col("n") / F.col("all")).alias("w")), "flow")
+    discard(sums)
     seeds = materialize(seeds, "seeds")
-    now = seeds
     if flow.limit(1).count() == 0:
-        return now
-    for _ in range(rounds):
-        moved = now.join(flow, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg((damping * F.sum(F.col("value") * F.col("w"))).alias("value"))
-        moved = materialize(moved, "moved")
-        kept = {r.kind: r.v for r in moved.groupBy("kind").agg(F.sum("value").alias("v")).collect()}  # two rows
-        home = F.lit(1.0)
-        for kind in ("trust", "distrust"):
-            home = F.when(F.col("kind") == kind, 1.0 - kept.get(kind, 0.0)).otherwise(home)
-        new = materialize(
-            moved.union(seeds.select("host", "kind", F.col("value") * home)).groupBy("host", "kind").agg(F.sum("value").alias("value")), "rank"
-        )
-        change = new.join(now.withColumnRenamed("value", "old"), ["host", "kind"], "full").agg(F.sum(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        discard(moved)
-        if now is not seeds:
-            discard(now)
-        now = new
-        if (change or 0.0) < tolerance:
+        return seeds
+    # what returns to the seeds is a multiple of them, so the ranks are the sum of all walks, scaled to 1
+    walks, step = [seeds], seeds
+    while True:
+        step = materialize(step.join(flow, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg((damping * F.sum(F.col("value") * F.col("w"))).alias("value")), "walk")
+        left = step.agg(F.sum("value")).first()[0] or 0.0
+        walks.append(step)
+        if len(walks) == 12 or left * damping / (1 - damping) < tolerance:
+            total = materialize(reduce(DataFrame.union, walks).groupBy("host", "kind").agg(F.sum("value").alias("value")), "rank")
+            for cut in walks[:-1]:
+                discard(cut)
+            walks = [total]
+        if left * damping / (1 - damping) < tolerance:
             break
-    return now
+    all_of = {r.kind: r.v for r in total.groupBy("kind").agg(F.sum("value").alias("v")).collect()}  # two rows
+    scale = F.lit(1.0)
+    for kind, v in all_of.items():
+        scale = F.when(F.col("kind") == kind, 1.0 / v).otherwise(scale)
+    discard(flow)
+    return total.withColumn("value", F.col("value") * scale)
 
 
 def judge_urls(

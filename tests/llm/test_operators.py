@@ -47,9 +47,12 @@ def empty(docs):
     return docs.limit(0)
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("hot", [50_000, 0])
+def test_substrings(docs, empty, hot, monkeypatch):
+    from terrazzo.llm import suffix_dedup
     from terrazzo.llm.suffix_dedup import dedup_substrings
 
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     raw = {i: (t or "").encode() for i, t in TEXTS.items()}
     seen = {}
     for b in raw.values():
@@ -74,14 +77,15 @@ def test_substrings_across_stretches(monkeypatch):
     raw = np.frombuffer(b"".join(bytes([k % 251, k // 251]) for k in range(900)), np.uint8)
     covered = set()
     for _, moved, part, offs in S._pieces(raw, np.array([0, len(raw)]), 200):
-        _, _, _, s0, s1, _ = S.anchors(part, offs, 200)
+        *_, s0, s1, _ = S.anchors(part, offs, 200)
         for a, b in zip(s0, s1, strict=True):
             covered |= set(range(a + moved, b + moved + 1))
     assert covered == set(range(len(raw) - 199))
 
 
 @pytest.mark.parametrize(("width", "num", "den"), [(4, 85, 100), (3, 1, 2)])
-def test_jaccard(docs, empty, width, num, den):
+def test_jaccard(docs, empty, width, num, den, monkeypatch):
+    from terrazzo.llm import jaccard as J
     from terrazzo.llm.jaccard import jaccard_components
 
     sets = {}
@@ -95,25 +99,31 @@ def test_jaccard(docs, empty, width, num, den):
             if i < j and sets[i] and den * both >= num * len(sets[i] | sets[j]) and root[i] != root[j]:
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if v == b else v for k, v in root.items()}
+    monkeypatch.setattr(J, "BLOCK", 7)  # hot keys and leads are split
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width, num, den).collect()}
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
     if width == 4:
         assert jaccard_components(empty, width, num, den).count() == 0
 
 
-def test_jaccard_blocks_and_deletions(monkeypatch):
+def test_jaccard_pigeonhole():
+    """Any two sets within the bound share a key that neither leaves out, whatever the keys' weights."""
     from terrazzo.llm import jaccard as J
 
-    scheme = J.allocate(40, 60, 10**10, 1, 2)
-    assert scheme.q > 0 and scheme.m + scheme.q >= 61
+    deletions = J.allocate(40, 60, 10**10, 1, 2)
+    assert deletions.q > 0
     r = np.random.default_rng(2)
-    a = np.unique(r.integers(0, 2**63, 50).astype(np.uint64))
-    for _ in range(30):  # any pair within the bound shares a key
-        k = int(r.integers(0, 17))
-        b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k).astype(np.uint64)]))
-        row = np.repeat([0, 1], [len(a), len(b)])
-        who, key = J.signature(row, np.concatenate([a, b]), np.array([0, 0]), [scheme], np.array([60, 60]))
-        assert set(key[who == 0]) & set(key[who == 1])
+    for scheme in (deletions, J.allocate(40, 60, 100, 1, 2), J.Scheme(90, 30)):
+        for n in (48, 52, 58):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            for _ in range(20):
+                k = int(r.integers(0, n // 3))
+                b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k).astype(np.uint64)]))
+                row = np.repeat([0, 1], [len(a), len(b)])
+                differ = np.minimum(60, np.array([len(a), len(b)]))
+                who, key, spare = J.signature(row, np.concatenate([a, b]), np.array([0, 0]), [scheme], differ)
+                stay = J.leave_out(who, key, spare, r.integers(0, 5, 64).astype(np.uint8))
+                assert set(key[stay & (who == 0)]) & set(key[stay & (who == 1)])
 
 
 def test_lines(docs, empty):
