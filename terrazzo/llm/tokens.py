@@ -183,8 +183,8 @@ class Encoder:
     other kinds of tokenizer, are encoded whole.
     """
 
-    #: Pieces remembered: some 150 bytes each.
-    REMEMBER = 1_000_000
+    #: Pieces remembered: some 45 bytes each; and words of new pieces, some 240 bytes each.
+    REMEMBER, WORDS = 1_500_000, 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -215,38 +215,56 @@ class Encoder:
         return regex.compile(public_tokenizers.PATTERN)
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.place, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        """Nothing is known: ``h`` (sorted) are hashes, ``a`` to ``b`` a piece's place in ``pool``, ``place`` and ``size`` its ids."""
+        self.h, self.a, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.b, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.ids, self.used = np.zeros(0, np.uint8), np.zeros(1 << 16, np.uint32), 0
 
     def _word(self, word: str) -> list[int]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 200_000:
+            if len(self.words) > self.WORDS:
                 self.words.clear()
             found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
             self.words[word] = found
         return found
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """Places in ``place`` and ``size`` of distinct pieces; new ones are encoded."""
-        if len(self.known) + len(pieces) > self.REMEMBER:
-            self._forget()
-        out = []
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces, in order of their hashes, and merge them into what is known."""
+        sizes, out = [], []
         for p in pieces:
-            n = self.known.get(p)
-            if n is None:
-                found = [i for w in self.cut.findall(p.decode()) for i in self._word(w)]
-                n = self.known[p] = len(self.known)
-                if n == len(self.place):
-                    self.place, self.size = np.append(self.place, np.zeros(n, np.int64)), np.append(self.size, np.zeros(n, np.int64))
-                while self.used + len(found) > len(self.ids):
-                    self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
-                self.ids[self.used : self.used + len(found)] = found
-                self.place[n], self.size[n] = self.used, len(found)
-                self.used += len(found)
-            out.append(n)
-        return np.array(out, np.int64)
+            n = len(out)
+            for w in self.cut.findall(p.decode()):
+                out += self._word(w)
+            sizes.append(len(out) - n)
+        size = np.array(sizes, np.int32)
+        while self.used + len(out) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+        self.ids[self.used : self.used + len(out)] = out
+        place = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += len(out)
+        b = len(self.pool) + np.cumsum([len(p) for p in pieces])
+        a = np.append(len(self.pool), b[:-1])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(pieces), np.uint8)])
+        at = np.searchsorted(self.h, h)
+        self.h, self.a, self.b = np.insert(self.h, at, h), np.insert(self.a, at, a), np.insert(self.b, at, b)
+        self.place, self.size = np.insert(self.place, at, place), np.insert(self.size, at, size)
+
+    def _look_up(self, raw: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where distinct pieces ``raw[s:e]`` with sorted hashes are known, and which are another piece of that hash."""
+        for _ in range(2):
+            at = np.searchsorted(self.h, h)
+            ok = at < len(self.h)
+            ok[ok] = self.h[at[ok]] == h[ok]
+            if ok.all():
+                break
+            if len(self.h) + int((~ok).sum()) > self.REMEMBER and len(self.h):
+                self._forget()
+                ok[:] = False
+            body = raw.tobytes()
+            self._learn(h[~ok], [body[i:j] for i, j in zip(s[~ok].tolist(), e[~ok].tolist(), strict=True)])
+        both, n = np.concatenate([self.pool, raw]), len(self.pool)
+        return at, ~same_spans(both, self.a[at], self.b[at], s + n, e + n)
 
     def _whole(self, raw: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> np.ndarray:
         """Texts that must not be cut: those with a place in ``odd`` or a special token's beginning."""
@@ -283,16 +301,17 @@ class Encoder:
         e = np.append(s[1:], n)
         plain = ~whole[row]
         s, e, row = s[plain], e[plain], row[plain]
-        _, at, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
-        differ = ~same_spans(raw, s, e, s[at][back], e[at][back])
-        if differ.any():  # different pieces with one hash: their texts aren't cut
-            whole[row[differ]] = True
+        while True:
+            h, first, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
+            at, other = self._look_up(raw, h, s[first], e[first])
+            differ = other[back] | ~same_spans(raw, s, e, s[first][back], e[first][back])
+            if not differ.any():
+                break
+            whole[row[differ]] = True  # different pieces with one hash: their texts aren't cut
             plain = ~whole[row]
             s, e, row = s[plain], e[plain], row[plain]
-            _, at, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
-        body = raw.tobytes()
-        which = self._numbers([body[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])[back]
-        size = self.size[which]
+        which = at[back]
+        size = self.size[which].astype(np.int64)
         counts = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
         ends = np.cumsum(size)
         pick = np.arange(int(size.sum())) + np.repeat(self.place[which] - (ends - size), size)
