@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Code units per numpy chunk; a longer text gets a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

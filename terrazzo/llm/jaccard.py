@@ -36,6 +36,8 @@ from .common import U64, chunks, mix, shingles, small_batches, text_bytes, word_
 
 #: Sets of one key compared at once; larger groups are split into pairs of blocks.
 BLOCK = 1024
+#: Sets of one key that a task holds to tell whether another key has the same.
+LARGE = 1 << 20
 #: Slots of the sketch of key frequencies.
 SLOTS = 1 << 20
 _K = mix(np.arange(21, 27, dtype=np.uint64)) | U64(1)
@@ -293,31 +295,48 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and fingerprint: those whose key has another set, with the key's first set as ``lead``."""
-    last: tuple[int, int, int, bool] | None = None  # key, fp, lead, whether it has company
+    """From rows sorted by key and fingerprint: ``(key, fp, lead)`` of keys that several sets have.
+
+    The key given on is a hash of the sets that have it, so keys with the same sets become one; ``lead`` is the first
+    of them.  A group of over ``LARGE`` sets isn't held but given on under a hash of its own key.
+    """
+    rest: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    large: tuple[int, int] | None = None  # a key that is being given on, and its lead
+
+    def groups(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
+        k, f = k[new], f[new]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(k)))
+        name = mix(np.add.reduceat(mix(f.view(np.uint64) + _K[0]), start) + size.astype(np.uint64)) if len(k) else np.zeros(0, np.uint64)
+        _, once = np.unique(name, return_index=True)
+        keep = np.zeros(len(start), bool)
+        keep[once] = True
+        keep = np.repeat(keep & (size > 1), size)
+        return _rows(np.repeat(name.view(np.int64), size)[keep], f[keep], np.repeat(f[start], size)[keep])
+
     for b in batches:
         k, f = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if last is not None:
-            k, f = np.insert(k, 0, last[0]), np.insert(f, 0, last[1])
         if not len(k):
             continue
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
-        k, f = k[new], f[new]
-        same = np.zeros(len(k) + 1, bool)
-        same[1:-1] = k[1:] == k[:-1]
-        start = np.flatnonzero(~same[:-1])
-        lead = f[start].copy()
-        company = same[:-1] | same[1:]
-        if last is not None:
-            lead[0] = last[2]
-            company[0] |= last[3]
-        lead = np.repeat(lead, np.diff(np.append(start, len(k))))
-        last = (int(k[-1]), int(f[-1]), int(lead[-1]), bool(company[-1]))
-        out = company[:-1]
-        yield _rows(k[:-1][out], f[:-1][out], lead[:-1][out])
-    if last is not None and last[3]:
-        yield _rows(*(np.array([x], np.int64) for x in last[:3]))
+        if large is not None:
+            mine = int(np.searchsorted(k, large[0], "right"))
+            if mine:
+                yield _rows(np.full(mine, mix(np.array([large[0]]).view(np.uint64)).view(np.int64)[0]), f[:mine], np.full(mine, large[1]))
+            if mine == len(k):
+                continue
+            k, f, large = k[mine:], f[mine:], None
+        k, f = np.concatenate([rest[0], k]), np.concatenate([rest[1], f])
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        yield groups(k[:cut], f[:cut])
+        rest = k[cut:], f[cut:]
+        if len(rest[0]) > LARGE:
+            large = int(rest[0][0]), int(rest[1][0])
+            yield _rows(np.full(len(rest[0]), mix(rest[0][:1].view(np.uint64)).view(np.int64)[0]), rest[1], np.full(len(rest[0]), large[1]))
+            rest = rest[0][:0], rest[1][:0]
+    if len(rest[0]):
+        yield groups(*rest)
 
 
 def _rows(key: np.ndarray, fp: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
@@ -500,12 +519,13 @@ def jaccard_components(
     weight = key_weights(texts, width, bands, schemes, num, den, parts)
     packed = texts.mapInArrow(_indexer(width, bands, schemes, num, den, weight, parts), "part int, block binary")
     rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpack, "key long, fp long").sortWithinPartitions("key", "fp")
-    index = materialize(rows.mapInArrow(_live, "key long, fp long, lead long"), "index")
+    index = rows.mapInArrow(_live, "key long, fp long, lead long").groupBy("key", "fp", "lead").agg(F.count("*").alias("c"))
+    index = materialize(index, "index")
     sets = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(index.select("fp").distinct(), "fp", "left_semi"), "sets")
-    met = index.where("fp <> lead").groupBy("fp", "lead").agg(F.count("*").alias("c"))
+    met = index.where("fp <> lead").groupBy("fp", "lead").agg(F.sum("c").alias("c"))
     first = met.groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), "b")
     links = _compare(first, sets, narrow, width, num, den)
-    tested, limit, cuts = None, 4, [links]
+    tested, limit, cuts = None, 16, [links]
     while True:
         labels = materialize(connected_components(links), "labels")
         pairs = materialize(_open_pairs(index, sets, labels, num, den, limit), "pairs")

@@ -27,7 +27,7 @@ TEXT_DIM = TRIGRAMS + 10
 #: Of the metadata view: 64 for source, 16 for language, 24 for length.
 META_DIM = 64 + 16 + 24
 #: Bytes of a long text that are counted at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 _KIND = np.zeros(256, np.int64)
 _KIND[65:91] = 1  # upper case

@@ -184,7 +184,7 @@ class Encoder:
     """
 
     #: Pieces remembered: some 45 bytes each; and words of new pieces, some 240 bytes each.
-    REMEMBER, WORDS = 1_500_000, 100_000
+    REMEMBER, WORDS = 1_000_000, 50_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -379,7 +379,7 @@ def _writer(path: str, end_id: int):
             raw, offs = text_bytes(b.column(1))
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
             doc = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, 1 << 20):
                 got, count = enc.encode(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 with_end = np.insert(got, np.cumsum(count), end_id)
                 docs.append(doc[lo:hi].astype(np.int64))
