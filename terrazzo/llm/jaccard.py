@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from terrazzo.plans.components import connected_components
 from terrazzo.plans.durable import broadcast_if_small, discard, materialize
 
-from .common import U64, chunks, mix, shingles, small_batches, text_bytes, word_hashes
+from .common import U64, chunks, mix, shingles, small_batches, text_bytes, tidy, word_hashes
 
 #: Sets of one key compared at once; larger groups are split into pairs of blocks.
 BLOCK = 1024
@@ -258,7 +258,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def key_weights(texts: DataFrame, width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, parts: int) -> np.ndarray:
     """Eight times the logarithm of each slot's number of keys, over all sets: a megabyte whatever the corpus."""
-    sums = texts.mapInArrow(_weigher(width, bands, schemes, num, den), "part int, counts binary").repartition(min(64, parts), "part").mapInArrow(_add, "part int, weights binary")
+    sums = texts.mapInArrow(tidy(_weigher(width, bands, schemes, num, den)), "part int, counts binary").repartition(min(64, parts), "part").mapInArrow(_add, "part int, weights binary")
     out = np.zeros((64, SLOTS // 64), np.uint8)
     for r in sums.collect():  # 64 rows
         out[r.part] = np.frombuffer(r.weights, np.uint8)
@@ -478,10 +478,10 @@ def _compare(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int, n
     wanted = member.union(leads).groupBy("fp").agg(F.collect_list("g").alias("groups"))
     wanted = materialize(wanted.join(sets.select("fp", "doc_id"), "fp"), "wanted")
     tokens = narrow.join(broadcast_if_small(wanted, 100_000), "doc_id").select("text", "fp", "groups").mapInArrow(
-        _setter(width), "lead long, block long, fp long, tokens binary"
+        tidy(_setter(width)), "lead long, block long, fp long, tokens binary"
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = tokens.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", F.col("fp") != F.col("lead")).mapInArrow(_verify(num, den), "a long, b long")
+    found = tokens.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", F.col("fp") != F.col("lead")).mapInArrow(tidy(_verify(num, den)), "a long, b long")
     found = materialize(found, "links")
     discard(left)
     discard(wanted)
@@ -508,7 +508,7 @@ def jaccard_components(
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = materialize(narrow.mapInArrow(_profile(width), "doc_id long, n long, fp long, bits binary"), "profile")
+    profile = materialize(narrow.mapInArrow(tidy(_profile(width)), "doc_id long, n long, fp long, bits binary"), "profile")
     known = profile.where("n > 0 and doc_id is not null")
     bands = size_bands(num, den, known.agg(F.max("n")).first()[0] or 1)
     own = F.expr(f"aggregate(array({','.join(map(str, bands))}), -1, (k, x) -> if(n >= x, k + 1, k))")
@@ -517,9 +517,9 @@ def jaccard_components(
     texts = narrow.where("doc_id is not null and text is not null").select("text")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weight = key_weights(texts, width, bands, schemes, num, den, parts)
-    packed = texts.mapInArrow(_indexer(width, bands, schemes, num, den, weight, parts), "part int, block binary")
-    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpack, "key long, fp long").sortWithinPartitions("key", "fp")
-    index = rows.mapInArrow(_live, "key long, fp long, lead long").groupBy("key", "fp", "lead").agg(F.count("*").alias("c"))
+    packed = texts.mapInArrow(tidy(_indexer(width, bands, schemes, num, den, weight, parts)), "part int, block binary")
+    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(tidy(_unpack), "key long, fp long").sortWithinPartitions("key", "fp")
+    index = rows.mapInArrow(tidy(_live), "key long, fp long, lead long").groupBy("key", "fp", "lead").agg(F.count("*").alias("c"))
     index = materialize(index, "index")
     sets = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(index.select("fp").distinct(), "fp", "left_semi"), "sets")
     met = index.where("fp <> lead").groupBy("fp", "lead").agg(F.sum("c").alias("c"))
@@ -570,4 +570,4 @@ def _open_pairs(index: DataFrame, sets: DataFrame, labels: DataFrame, num: int,
     part = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part")
     rows = rows.select("key", part, "fp", "n", "comp", "mine", "bits")
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_across(num, den, limit), "a long, b long, more boolean").distinct()
+    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(_across(num, den, limit)), "a long, b long, more boolean").distinct()

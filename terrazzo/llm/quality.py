@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from terrazzo.plans.durable import discard, materialize
 
-from .common import chunks, small_batches, text_bytes
+from .common import chunks, small_batches, text_bytes, tidy
 
 TRIGRAMS = 2048
 #: Of the text view: hashed trigrams, then shares of eight kinds of characters, line and word sizes.
@@ -165,7 +165,7 @@ def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarra
 
     Of rows that repeat an id, the one with the smallest hash of its text counts.
     """
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurize, "doc_id long, h long, xt binary, xm binary")
+    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(tidy(_featurize), "doc_id long, h long, xt binary, xm binary")
     got = rows.groupBy("doc_id").agg(F.min(F.struct("h", "xt", "xm")).alias("x")).select("doc_id", "x.xt", "x.xm").toArrow().sort_by("doc_id")
     out = []
     for name, dim in (("xt", TEXT_DIM), ("xm", META_DIM)):
@@ -185,7 +185,7 @@ def _opinions(docs: DataFrame, wt: np.ndarray, wm: np.ndarray) -> DataFrame:
             cols = [pa.array(_sigmoid(_raw(x, w)).astype(np.float64)) for x, w in ((xt, wt), (xm, wm))]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("doc_id"), *cols], ["h", "doc_id", "t", "m"])
 
-    seen = docs.mapInArrow(run, "h long, doc_id long, t double, m double")
+    seen = docs.mapInArrow(tidy(run), "h long, doc_id long, t double, m double")
     return seen.groupBy("h").agg(F.min(F.struct("doc_id", "t", "m")).alias("x")).select("h", "x.*")
 
 
@@ -273,7 +273,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, _scores(b, model))], _SCORES.fieldNames())
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(run, _SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(tidy(run), _SCORES)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
@@ -286,4 +286,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **f
             yield b.filter(pa.array(_scores(b, model)[2] >= threshold)).select(names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.plans.durable import broadcast_if_small, discard, materialize
 
-from .common import U64, chunks, mix, small_batches, span_hashes, text_bytes
+from .common import U64, chunks, mix, small_batches, span_hashes, text_bytes, tidy
 
 GRAM = 48
 _C = mix(np.arange(11, 17, dtype=np.uint64)) | U64(1)
@@ -267,7 +267,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("d"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"),
     )
-    every = rows.select("d", "t", "text").mapInArrow(_sampler(length), "gram long, whole long, whole2 long, d long, t long, place long")
+    every = rows.select("d", "t", "text").mapInArrow(tidy(_sampler(length)), "gram long, whole long, whole2 long, d long, t long, place long")
     one = F.struct("whole", "whole2")
     twice = every.groupBy("gram").agg(F.count("*").alias("n"), F.min(one).alias("w0"), F.max(one).alias("w1")).where("n > 1")
     # written, so that the join below can split the rows of a gram that very many texts share
@@ -287,7 +287,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
         _cutter(length), "lead binary, body binary, d long, t long, place long, single boolean"
     )
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = stretches.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_bucket(length), "d long, t long, lo long, hi long")
+    found = stretches.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(tidy(_bucket(length)), "d long, t long, lo long, hi long")
     marks = spans.union(found)
     cuts = [twice, live, counts, hot, edges]
     if some:
@@ -303,4 +303,4 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True,
     for cut in cuts:
         discard(cut)
     done = rows.join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
-    return done.mapInArrow(_assemble(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done.mapInArrow(tidy(_assemble(keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

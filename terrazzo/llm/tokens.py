@@ -24,14 +24,14 @@ from pyspark.sql import types as T
 
 from terrazzo.plans.durable import materialize, shared_dir
 
-from .common import U64, chunks, same_spans, small_batches, span_hashes, text_bytes
+from .common import U64, chunks, same_spans, small_batches, span_hashes, text_bytes, tidy
 
 MAGIC = b"RANS2"
 BITS = 20
 LANES = 1024
 SEGMENT = 1 << 17
 BLOCK = 1 << 19
-GROUP = 1 << 24
+GROUP = 1 << 22
 _LOW = U64(1 << 31)
 
 
@@ -430,7 +430,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc_id: str
     import uuid
 
     path = f"{shared_dir(spark).rstrip('/')}/terrazzo/tokens-{uuid.uuid4().hex}"
-    narrow.mapInArrow(_writer(tokenizer_path, end_id), _FILE).write.option("compression", "uncompressed").parquet(path)
+    narrow.mapInArrow(tidy(_writer(tokenizer_path, end_id)), _FILE).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -464,10 +464,10 @@ def read_ids(spark, path: str) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(path)
     heads = files.select("group", "block", "first_doc", "n_ids")
     groups = heads.groupBy("group").agg(F.min("first_doc").alias("first"), F.sum("n_ids").alias("n"))
-    # a row a group of up to GROUP ids: at 100 TB some two million small rows in the one task of this window
+    # a row a group of up to GROUP ids: at 100 TB some six million small rows in the one task of this window
     groups = groups.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("first", "group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inner = F.coalesce(F.sum("n_ids").over(W.partitionBy("group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = heads.withColumn("inner", inner).join(groups, "group").select("group", "block", (F.col("inner") + F.col("before")).alias("base"))
     base = materialize(base, "starts")
     joined = files.select("group", "block", "freqs", "data").join(F.broadcast(base) if base.count() <= 100_000 else base, ["group", "block"])
-    return joined.select("freqs", "data", "base").mapInArrow(_reader, _READ)
+    return joined.select("freqs", "data", "base").mapInArrow(tidy(_reader), _READ)
