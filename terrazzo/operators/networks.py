@@ -93,7 +93,7 @@ def eliminate_dead_ends(lines: DataFrame, length: float = 0.0) -> DataFrame:
     return lines.join(gone, "rid", "left_anti")
 
 
-def strahler(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def strahler(edges: DataFrame) -> DataFrame:
     """``(rid, strahler)`` of river edges ``(rid, src, dst)`` drawn downstream; edges on a cycle have null.
 
     An edge without feeders has order 1; with one feeder of the highest order it keeps it, with more it gains one.
@@ -103,7 +103,7 @@ def strahler(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     done = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select("rid", "dst", F.lit(1).alias("strahler")), "orders")
     todo = materialize(e.join(done, "rid", "left_anti"), "todo")
     feeders = e.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("need"))
-    for _ in range(max_rounds):
+    while True:
         into = done.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("have"), F.max("strahler").alias("top"), F.collect_list("strahler").alias("s"))
         ready = todo.join(into, "src").join(feeders, "src").where("have = need")
         up = ready.select("rid", "dst", (F.col("top") + F.when(F.size(F.filter("s", lambda v: v == F.col("top"))) > 1, 1).otherwise(0)).alias("strahler"))

@@ -9,8 +9,11 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from terrazzo.plans.durable import broadcast_if_small, discard, materialize
@@ -98,6 +101,47 @@ def labelgrid_simplification(points: DataFrame, width: float, height: float | No
     return c.join(best, ["ci", "cj"]).withColumn("selected_labelgrid", F.col("rid") == F.col("best")).drop("best", "cx", "cy")
 
 
+def nearest_centre(centres: np.ndarray):
+    """A function of ``(x, y)`` that gives each point's nearest centre, the first of equally near ones.
+
+    Centres lie in a grid of about one a cell.  Rings of cells about a point's own are searched until none beyond can
+    hold a nearer centre.
+    """
+    low, high = centres.min(0), centres.max(0)
+    step = max(float((high - low).max()) / max(1.0, len(centres) ** 0.5), 1e-9)
+    wide, tall = (np.floor((high - low) / step).astype(np.int64) + 1).tolist()
+    place = np.floor((centres - low) / step).astype(np.int64)
+    cell = place[:, 0] * tall + place[:, 1]
+    order = np.argsort(cell, kind="stable")
+    start = np.searchsorted(cell[order], np.arange(wide * tall + 1))
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i = np.clip(np.floor((x - low[0]) / step), 0, wide - 1).astype(np.int64)
+        j = np.clip(np.floor((y - low[1]) / step), 0, tall - 1).astype(np.int64)
+        best, at, todo = np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.arange(len(x))
+        for ring in range(max(wide, tall) + 1):
+            for di in range(-ring, ring + 1):
+                for dj in range(-ring, ring + 1) if abs(di) == ring else ((-ring, ring) if ring else (0,)):
+                    a, b = i[todo] + di, j[todo] + dj
+                    q = todo[(a >= 0) & (a < wide) & (b >= 0) & (b < tall)]
+                    c = (i[q] + di) * tall + j[q] + dj
+                    lo, hi = start[c], start[c + 1]
+                    while len(q := q[(more := lo < hi)]):
+                        lo, hi = lo[more], hi[more]
+                        o = order[lo]
+                        d = (x[q] - centres[o, 0]) ** 2 + (y[q] - centres[o, 1]) ** 2
+                        hit = (d < best[q]) | ((d == best[q]) & (o < at[q]))
+                        best[q[hit]], at[q[hit]] = d[hit], o[hit]
+                        lo = lo + 1
+            # what is beyond the ring is further than ``ring`` cells, by a hair's breadth of rounding at least
+            todo = todo[~(best[todo] < (ring * step * (1 - 1e-9)) ** 2)]
+            if not len(todo):
+                break
+        return at
+
+    return near
+
+
 # --- k-means -------------------------------------------------------------------------------------------------------
 
 
@@ -106,27 +150,31 @@ def kmeans_clusters(points: DataFrame, ratio: float, tolerance: float = 2.0, max
 
     Seeds are the points of smallest ``rid``.  Rounds end when no centre moves more than ``tolerance``, and clusters
     are those of the last round; an empty cluster keeps its centre.  Only where ``max_rounds`` is given do rounds end
-    before that; else more than 10,000 raise.  Centres are one array, shipped only up to 20,000; more clusters are
-    refused.
+    before that; else more than 10,000 raise.  Centres are kept as arrays on the driver and sent to each task (16 bytes
+    a centre); a grid over them finds a point's nearest, ties to the earlier seed.
     """
     n = points.count()
     k = round(n * ratio)
     if k < 1:
         return points.select("*", F.lit(0).alias("cluster"), F.lit(0.0).alias("kx"), F.lit(0.0).alias("ky")).limit(0)
-    if k > 20_000:
-        raise ValueError("too many clusters: partition the points first")
-    seeds = points.orderBy("rid").limit(k).select("x", "y").collect()  # k of them, bounded above
-    centres = [(float(r.x), float(r.y)) for r in seeds]
+    seeds = points.orderBy("rid").limit(k).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).toArrow()  # a row a centre
+    centres = np.column_stack([seeds.column(c).to_numpy() for c in ("x", "y")])
 
     def assigned() -> DataFrame:
-        table = points.sparkSession.createDataFrame([(centres,)], "__c array<struct<x:double,y:double>>")
-        d = F.transform("__c", lambda c, i: F.struct(((F.col("x") - c.x) * (F.col("x") - c.x) + (F.col("y") - c.y) * (F.col("y") - c.y)).alias("d"), i.alias("i")))
-        return points.crossJoin(F.broadcast(table)).withColumn("cluster", F.array_min(d)["i"]).select(*points.columns, "cluster")  # one row
+        names, near = points.columns, nearest_centre(centres)
+
+        def run(batches):
+            for b in batches:
+                at = near(*(b.column(names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y")))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*names, "cluster"])
+
+        return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType())]))
 
     for done in itertools.count(1):
-        got = {r.cluster: (r.x, r.y) for r in assigned().groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
-        moved = [got.get(i, c) for i, c in enumerate(centres)]
-        far = max(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(centres, moved, strict=True))
+        got = assigned().groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).toArrow()
+        moved = centres.copy()
+        moved[got.column("cluster").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in ("x", "y")])
+        far = float(np.hypot(*(moved - centres).T).max())
         if far <= tolerance:
             break
         centres = moved

@@ -77,7 +77,7 @@ def propagation_crow_flies(lines: DataFrame, move: DataFrame, distance: float, i
     return lines.join(by_line, "rid", "left").withColumn("geom", F.transform("geom", shift)).drop("__moved")
 
 
-def propagation_network(lines: DataFrame, move: DataFrame, reach: float | None = None, damping: float = 0.1, max_rounds: int = 10_000) -> DataFrame:
+def propagation_network(lines: DataFrame, move: DataFrame, reach: float | None = None, damping: float = 0.1) -> DataFrame:
     """``lines(rid, geom)`` after the line of ``move(rid, geom)`` took its new shape.
 
     Breadth first from both its ends: a line's vertices shift by its near end's displacement times a factor that falls
@@ -99,7 +99,7 @@ def propagation_network(lines: DataFrame, move: DataFrame, reach: float | None =
     ])).alias("e"))
     front = first.select(F.col("rid").alias("source"), "e.node", "e.vx", "e.vy", F.lit(0.0).alias("way")).where("abs(vx) + abs(vy) > 1e-6")
     done = materialize(move.select("rid", F.lit(None).cast("boolean").alias("at_start"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("last")), "done")
-    for _ in range(max_rounds):
+    while True:  # a line is met once
         met = front.join(links, "node").join(done.select("rid"), "rid", "left_anti")
         best = W.partitionBy("rid").orderBy("source", F.desc("at_start"))
         ends_here = F.col("dangling") | (F.col("way") + F.col("size") > F.lit(float("inf") if reach is None else float(reach)))

@@ -99,17 +99,9 @@ for _m, _k in {
         h as (select c.*, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) / 100 as u from c left join p on (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 10000)
         select ci, cj, round(x, 6) as x, round(y, 6) as y, round(coalesce(sum(case when u is not null then {_k} end), 0), 6) as density from h group by ci, cj, x, y""",
     )
-_add(
-    "heatmap_column_radius_weighted",
-    lambda s, d: points.heatmap(X.points_from_events(s, d).where("x < 2000"), 25, "r", "w", "epanechnikov"),
-    f"""with p as (select * from ({EVT}) where x < 2000), e as (select min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p),
-    c as (select i.i as ci, j.i as cj, x0 + (i.i + 0.5) * 25 as x, y0 + (j.i + 0.5) * 25 as y from e, unnest(range(ceil((x1 - x0) / 25)::bigint)) i(i), unnest(range(ceil((y1 - y0) / 25)::bigint)) j(i)),
-    h as (select c.*, w, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) / r as u from c left join p on sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) <= r)
-    select ci, cj, round(x, 6) as x, round(y, 6) as y, round(coalesce(sum(0.75 * (1 - u * u) * w), 0), 6) as density from h group by ci, cj, x, y""",
-)
 # all events: the SQL meets a point (r is under 25) only with the nine cells about its own
 _add(
-    "heatmap_column_radius_weighted_all",
+    "heatmap_column_radius_weighted",
     lambda s, d: points.heatmap(X.points_from_events(s, d), 25, "r", "w", "epanechnikov"),
     f"""with p as ({EVT}), e as (select min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p),
     c as (select i.i as ci, j.i as cj, x0 + (i.i + 0.5) * 25 as x, y0 + (j.i + 0.5) * 25 as y from e, unnest(range(ceil((x1 - x0) / 25)::bigint)) i(i), unnest(range(ceil((y1 - y0) / 25)::bigint)) j(i)),
@@ -150,16 +142,8 @@ def _lloyd(rounds: int) -> str:
     return sql
 
 
-def _fixed_kmeans(s, d) -> DataFrame:
-    p = X.points_from_embeddings(s, d)
-    return points.kmeans_aggregation(p, 20.0 / max(1, p.count()), "value", tolerance=0.0, max_rounds=3)
-
-
-_add(
-    "kmeans_aggregation", _fixed_kmeans,
-    _lloyd(3) + " select count(*) as cluster_count, round(avg(x), 6) as x, round(avg(y), 6) as y, sum(value)::bigint as value_total, round(avg(value), 6) as value_mean from a3 group by c",
-)
-_add("kmeans_aggregation_converged", lambda s, d: points.kmeans_aggregation(X.points_from_embeddings(s, d), 0.05, "value"))
+  # fmt: skip
+_add("kmeans_aggregation", lambda s, d: points.kmeans_aggregation(X.points_from_embeddings(s, d), 0.05, "value"))
 _add("kmeans_selection", lambda s, d: points.kmeans_selection(X.points_from_embeddings(s, d), 0.05, "value"))
 _add("kmeans_simplification", lambda s, d: points.kmeans_simplification(X.points_from_embeddings(s, d), 0.05))
 
@@ -178,8 +162,7 @@ _add(
     f"""with p as ({EVT}), e as (select min(x) as x0, min(y) as y0, max(y) as y1 from p)
     select rid, (greatest(0, ceil((x - x0) / 500.0) - 1) * greatest(1, ceil((y1 - y0) / 50.0)) + greatest(0, ceil((y - y0) / 50.0) - 1))::bigint as part_id from p, e""",
 )
-_add("partition_quadtree", lambda s, d: partition.partition_quadtree(X.points_from_embeddings(s, d), 4), _QT + "select rid, level, qi, qj from c")
-_add("partition_quadtree_all", lambda s, d: partition.partition_quadtree(X.points_from_embeddings(s, d)))
+_add("partition_quadtree", lambda s, d: partition.partition_quadtree(X.points_from_embeddings(s, d)))
 
 # --- lines -------------------------------------------------------------------------------------------------------------
 
@@ -247,9 +230,8 @@ _add("polygon_area", lambda s, d: X.buildings_from_parts(s, d).select("rid", G.a
 _add("polygon_perimeter", lambda s, d: X.buildings_from_parts(s, d).select("rid", G.length(F.col("geom")).alias("perimeter")), f"select rid, round(2 * (w + h), 6) as perimeter from ({BLD})")
 _add("polygon_compactness", lambda s, d: X.buildings_from_parts(s, d).select("rid", G.compactness(F.col("geom")).alias("v")), f"select rid, round(4 * pi() * {_A} / power(2 * (w + h), 2), 6) as v from ({BLD})")
 _add("polygon_concavity", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_concavity")("geom").alias("v")), f"select rid, round(case when ell then 0.75 / 0.875 else 1 end, 6) as v from ({BLD})")
-_add("polygon_elongation", lambda s, d: X.buildings_from_parts(s, d).where("rid % 3 <> 0").select("rid", measure("polygon_elongation")("geom").alias("v")), f"select rid, round(greatest(w, h) / least(w, h), 6) as v from ({BLD}) where not ell")
 # the L's smallest rectangle is that of its sides: one along its cut has 1.5 times the area
-_add("polygon_elongation_all", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_elongation")("geom").alias("v")), f"select rid, round(greatest(w, h) / least(w, h), 6) as v from ({BLD})")
+_add("polygon_elongation", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_elongation")("geom").alias("v")), f"select rid, round(greatest(w, h) / least(w, h), 6) as v from ({BLD})")
 _add("polygon_orientation", lambda s, d: X.buildings_from_parts(s, d).select("rid", measure("polygon_orientation")("geom").alias("v")))
 for _name, _how in {"convex_hull": {}, "enclosing_rectangle": {}, "regularize_building_rectangle": {"factor": 1.1}, "square_polygon_naive": {}}.items():
     _add(_name, lambda s, d, n=_name, h=_how: X.buildings_from_parts(s, d).select("rid", G.area(line_function(n, **h)("geom")).alias("area")))
@@ -261,11 +243,6 @@ _add(
 )
 _add(
     "building_granularity_constraint",
-    lambda s, d: X.buildings_from_parts(s, d).where("rid % 3 <> 0").select("rid", B.granularity(F.col("geom"), 12.0).alias("v")),
-    f"""with e as (select rid, unnest([w, h, w, h]) as l from ({BLD}) where not ell) select rid, round(coalesce(sqrt(count(*) filter (l < 12) / 4.0 * avg(12 - l) filter (l < 12) / 12), 0), 6) as v from e group by rid""",
-)
-_add(
-    "building_granularity_constraint_all",
     lambda s, d: X.buildings_from_parts(s, d).select("rid", B.granularity(F.col("geom"), 12.0).alias("v")),
     f"""with e as (select rid, unnest(case when ell then [w, h / 2, w / 2, h / 2, w / 2, h] else [w, h, w, h] end) as l, case when ell then 6.0 else 4.0 end as n from ({BLD}))
     select rid, round(coalesce(sqrt(count(*) filter (l < 12) / first(n) * avg(12 - l) filter (l < 12) / 12), 0), 6) as v from e group by rid""",
@@ -307,7 +284,17 @@ _add(
     f"""with recursive e as (select (x1 * 100 + y1 / 100)::bigint as a, (x2 * 100 + y2 / 100)::bigint as b from ({ROADS})), u as (select a, b from e union select b, a from e),
     r(node, other) as (select a, a from u union select r.node, u.b from r join u on r.other = u.a) select node, min(other) as component from r group by node""",
 )
-_add("collapse_junctions", lambda s, d: networks.collapse_junctions(X.roads_from_orders(s, d), 50.0).select("rid", G.length(F.col("geom")).alias("length")), f"select rid, 100.0::double as length from ({ROADS})")
+#: Roads whose columns come in pairs 40 apart: junctions joined by such an edge are drawn together.
+_SQUEEZED = F.transform("geom", lambda p: G.point(F.floor(p.x / 200) * 200 + (p.x % 200) * 0.4, p.y))
+_add(
+    "collapse_junctions",
+    lambda s, d: networks.collapse_junctions(X.roads_from_orders(s, d).withColumn("geom", _SQUEEZED), 50.0).select(
+        "rid", *(F.round(F.col("geom")[i][c], 6).alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy")
+    ),
+    f"""with r as (select *, x1 % 200 = 0 and y1 = y2 as inner_ from ({ROADS})), g as (select x1, y1 from r where inner_),
+    e as (select rid, x1, y1, x2, y2, exists (from g where g.x1 = floor(r.x1 / 200) * 200 and g.y1 = r.y1) as g1, exists (from g where g.x1 = floor(r.x2 / 200) * 200 and g.y1 = r.y2) as g2 from r where not inner_)
+    select rid, floor(x1 / 200) * 200 + case when g1 then 20.0 else (x1 % 200) * 0.4 end as x1, y1, floor(x2 / 200) * 200 + case when g2 then 20.0 else (x2 % 200) * 0.4 end as x2, y2 from e""",
+)
 _add(
     "dead_ends",
     lambda s, d: networks.dead_ends(X.roads_from_orders(s, d)).select("rid", "deadend"),
@@ -318,15 +305,6 @@ _add("strokes_roads", lambda s, d: networks.strokes_roads(X.roads_from_orders(s,
 _add("network_faces", lambda s, d: networks.faces(X.roads_from_orders(s, d)).select("face", "area"))
 _add("detect_roundabouts", lambda s, d: networks.detect_roundabouts(X.roads_from_orders(s, d), 20000, 0.7).select("face", "area", "index"))
 _add("detect_dual_carriageways", lambda s, d: networks.detect_dual_carriageways(X.roads_from_orders(s, d), elongation=1.5, compactness=0.75, width=250.0).select("face", "area", "elongation", "width"))
-_add(
-    "shortest_paths",
-    lambda s, d: networks.shortest_paths(networks.create_graph(X.roads_from_orders(s, d))[1], networks.create_graph(X.roads_from_orders(s, d))[0].where("x < 300 and y < 300").select("node"), 600.0).groupBy("cost").agg(F.count("*").alias("n")),
-    f"""with recursive e as ({ROADS}), u as (select x1, y1, x2, y2 from e union select x2, y2, x1, y1 from e),
-    r(sx, sy, x, y, c) as (select distinct x1, y1, x1, y1, 0.0::double from u where x1 < 300 and y1 < 300 union select r.sx, r.sy, u.x2, u.y2, c + 100 from r join u on r.x = u.x1 and r.y = u.y1 where c < 600),
-    m as (select sx, sy, x, y, min(c) as cost from r group by sx, sy, x, y) select cost, count(*) as n from m group by cost""",
-)
-
-
 def _all_paths(s, d) -> DataFrame:
     """From every node to every node; nodes by their position, as ids are hashes."""
     nodes, edges = networks.create_graph(X.roads_from_orders(s, d))
@@ -335,7 +313,7 @@ def _all_paths(s, d) -> DataFrame:
     return paths.join(at("source"), "source").join(at("node"), "node").select("source_x", "source_y", "node_x", "node_y", "cost")
 
 
-_add("shortest_paths_all", _all_paths)
+_add("shortest_paths", _all_paths)
 _add(
     "strahler_order",
     lambda s, d: networks.strahler(X.rivers_from_customers(s, d)),

@@ -41,3 +41,57 @@ def test_squaring_and_rectangles():
     skew = np.array([(0, 0), (10, 0.5), (9.7, 6), (0.2, 5.8), (0, 0)])
     assert np.abs(K.turning(np.vstack([K.square_naive(skew)[-2:-1], K.square_naive(skew)])) - 90).max() < 1e-6
     assert abs(K.shoelace(K.enlarge(skew, 100))) == pytest.approx(100)
+
+
+ZIG = np.array([(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)], float)
+
+
+def test_documented_results():
+    """Results that the methods are documented with."""
+    assert np.allclose(K.gaussian(LINE, 1), [(0, 0), (5 / 3, 0.6051115971), (10 / 3, 1.6051115971), (5, 3)])
+    ring = K.gaussian(np.array([(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)], float), 1)
+    assert np.allclose(ring[[0, -1]], [(0.1168459781, 0.3005282653)] * 2)
+    assert np.allclose(K.snake(ZIG).round(3), [(0, 0), (0.875, 0.256), (2, 0.298), (3.125, 0.256), (4, 0)])
+    same(K.wang_muller(np.array([(0, 0), (1, 0.5), (2, 0), (3, 0.2), (10, 0)], float), 2.0), [(0, 0), (10, 0)])
+    # the ends come once; the documented result takes the first vertex into its cluster as well, the method doesn't
+    same(K.raposo(LINE, 5000, 10000), [(0, 0), (1.5, 0.5), (5, 3)])
+    straight = np.column_stack([np.arange(0, 31, 10.0), np.zeros(4)])
+    same(K.raposo(straight, 1, 0.1), straight)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 40])
+@pytest.mark.parametrize("ring", [False, True])
+def test_snake_against_a_dense_system(n, ring):
+    x0 = np.random.default_rng(n).normal(size=(n, 2))
+    a = np.zeros((n, n))
+    for i in range(n) if ring else range(1, n - 1):
+        for k, v in ((-2, 0.1), (-1, -0.5), (0, 0.8), (1, -0.5), (2, 0.1)):
+            a[i, (i + k) % n if ring else min(n - 1, max(0, i + k))] += v
+    m = a + 1.1 * np.eye(n)
+    if not ring:
+        m[0], m[-1] = np.eye(n)[0], np.eye(n)[-1]
+    x = x0
+    for _ in range(10):
+        b = x + 0.1 * x0
+        if not ring:
+            b[0], b[-1] = x0[0], x0[-1]
+        x = np.linalg.solve(m, b)
+    got = K.snake(np.vstack([x0, x0[:1]]) if ring else x0)
+    assert np.allclose(got, np.vstack([x, x[:1]]) if ring else x)
+
+
+def test_platre_reach():
+    """The kernel reaches three sigmas: an edge in the direction moves no vertex further away."""
+    line = np.vstack([np.column_stack([np.arange(20.0), np.zeros(20)]), np.column_stack([np.arange(20.0, 40), np.arange(20) * 0.01])])
+    turn = K.turning(K.platre(line, 2, 10.0))
+    assert turn[:11].max() < 1e-3 < turn[14:25].max()
+
+
+def test_nearest_centre():
+    from terrazzo.operators.points import nearest_centre
+
+    r = np.random.default_rng(1)
+    for k in (1, 2, 7, 300):
+        c = r.integers(0, 40, (k, 2)).astype(float)
+        x, y = r.integers(-20, 60, (2, 2000)).astype(float)
+        assert (nearest_centre(c)(x, y) == ((x[:, None] - c[:, 0]) ** 2 + (y[:, None] - c[:, 1]) ** 2).argmin(1)).all()

@@ -31,7 +31,7 @@ def against_sql(spark, name: str, sf: str) -> list:
 def test_heatmap_of_all_events(spark):
     from terrazzo.sources import fixtures as X
 
-    got = against_sql(spark, "heatmap_column_radius_weighted_all", "sf0.01")
+    got = against_sql(spark, "heatmap_column_radius_weighted", "sf0.01")
     e = X.points_from_events(spark, f"{TESTDATA}/sf0.01").selectExpr("max(x)", "min(x)", "max(y)", "min(y)").first()
     assert len(got) == -(-(e[0] - e[1]) // 25) * -(-(e[2] - e[3]) // 25)
 
@@ -68,7 +68,7 @@ def test_kmeans_query_is_converged(spark):
     near, rounds = lloyd([(r.x, r.y) for r in p], 25, 2.0)
     assert rounds > 4
     want = sorted((near.count(c), sum(r.value for r, n in zip(p, near, strict=True) if n == c)) for c in set(near))
-    got = entry.queries()["kmeans_aggregation_converged"](spark, f"{TESTDATA}/sf0.001").collect()
+    got = entry.queries()["kmeans_aggregation"](spark, f"{TESTDATA}/sf0.001").collect()
     assert sorted((r.cluster_count, r.value_total) for r in got) == want
 
 
@@ -110,7 +110,7 @@ def test_paths_between_all_nodes(spark):
         arcs.setdefault(b, []).append((a, 100.0))
     want = {(*s, *n): c for s in arcs for n, c in dijkstra(arcs, s).items()}
     assert max(want.values()) > 600
-    got = entry.queries()["shortest_paths_all"](spark, f"{TESTDATA}/sf0.001").collect()
+    got = entry.queries()["shortest_paths"](spark, f"{TESTDATA}/sf0.001").collect()
     assert len(got) == len(want) and {tuple(r)[:4]: r.cost for r in got} == want
 
 
@@ -154,11 +154,11 @@ def test_quadtree_ends(spark):
 def test_quadtree_query(spark):
     import __spark_entry__ as entry
 
-    got = entry.queries()["partition_quadtree_all"](spark, f"{TESTDATA}/sf0.01").collect()
+    got = entry.queries()["partition_quadtree"](spark, f"{TESTDATA}/sf0.01").collect()
     assert len({(r.level, r.qi, r.qj) for r in got}) == len(got) == 500
 
 
-@pytest.mark.parametrize("name", ["polygon_elongation_all", "building_granularity_constraint_all"])
+@pytest.mark.parametrize("name", ["polygon_elongation", "building_granularity_constraint"])
 def test_buildings_of_both_shapes(spark, name):
     got = against_sql(spark, name, "sf0.01")
     assert len(got) == 2000 and sum(r[0] % 3 == 0 for r in got) == 667
