@@ -184,7 +184,7 @@ class Encoder:
     """
 
     #: Pieces remembered: some 45 bytes each; and words of new pieces, some 240 bytes each.
-    REMEMBER, WORDS = 1_000_000, 50_000
+    REMEMBER, WORDS = 500_000, 50_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -322,8 +322,8 @@ class Encoder:
         if not whole.any():
             return ids, counts
         w = np.flatnonzero(whole)
-        texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in w]
-        coded = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # one at a time: the library's own result of a text takes some 200 bytes an id
+        coded = [np.array(self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int64) for i in w]
         split = np.split(ids, np.cumsum(counts)[:-1])
         for i, c in zip(w, coded, strict=True):
             split[i], counts[i] = c, len(c)
@@ -379,7 +379,7 @@ def _writer(path: str, end_id: int):
             raw, offs = text_bytes(b.column(1))
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
             doc = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(offs, 1 << 20):
+            for lo, hi in chunks(offs, 1 << 19):
                 got, count = enc.encode(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 with_end = np.insert(got, np.cumsum(count), end_id)
                 docs.append(doc[lo:hi].astype(np.int64))
