@@ -13,8 +13,9 @@ therefore make no common keys, unless texts are made of little else.
 Links come from pairs that meet at a key and are compared exactly:
 
 1. Every set is compared with one set it shares the most keys with, of those that lead a key.
-2. Keys whose sets are then still in different components: their pairs across components that bitmaps don't rule out
-   are compared too, a growing number for each set and component, until none is left.
+2. Where a key's sets are then still in different components, bitmaps tell which components may link: a forest of
+   them, so that no key yields more rows than it has sets.  Sets of components so joined are compared exactly, all
+   pairs across components that bitmaps leave open, in parts of two blocks.
 """
 
 from __future__ import annotations
@@ -381,8 +382,9 @@ def _setter(width: int):
                     mine, tokens = groups[int(lo + i)].as_py(), g[cut[i] : cut[i + 1]].tobytes()
                     for at in range(0, len(mine), 64):
                         part = mine[at : at + 64]
-                        cols = [pa.array([x["lead"] for x in part], pa.int64()), pa.array([x["block"] for x in part], pa.int64()), pa.array([int(want[lo + i])] * len(part), pa.int64())]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array([tokens] * len(part), pa.binary())], ["lead", "block", "fp", "tokens"])
+                        cols = [pa.array([x[c] for x in part], pa.int64()) for c in ("lead", "block", "comp", "mine")]
+                        cols.append(pa.array([int(want[lo + i])] * len(part), pa.int64()))
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([tokens] * len(part), pa.binary())], ["lead", "block", "comp", "mine", "fp", "tokens"])
 
     return run
 
@@ -409,85 +411,118 @@ def _verify(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int, limit: int):
-    """Pairs ``(a, b, more)`` of sets of one ``(key, part)`` in different components that bitmaps leave open.
+def _flat(bits: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps folded to the narrowest of them."""
+    words = min(len(b) for b in bits)
+    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
 
-    For each set outside the group's largest component and each component, the ``limit`` pairs with the fewest
-    differing bits; ``more`` says that there were others.  In a part of two blocks only pairs across are compared.
-    """
 
-    def solve(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
-        fp, n, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5))
-        names, group, size = np.unique(comp, return_inverse=True, return_counts=True)
-        cross = bool((block != block[0]).any())
-        words = min(len(r[6]) for r in rows) // 8
-        flat = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[6], np.uint64).reshape(-1, words), axis=0) for r in rows])
-        big = group == int(size.argmax())
-        place = np.arange(len(rows))
-        for i in np.flatnonzero(~big):
-            j = np.flatnonzero((group != group[i]) & (big | (place < i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
-            if cross:
-                j = j[block[j] != block[i]]
-            differ = np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64)
-            ok = differ * (num + den) <= (den - num) * (n[j] + n[i])
-            j, differ = j[ok], differ[ok]
-            order = np.lexsort((fp[j], differ, group[j]))
-            j = j[order]
-            start = np.ones(len(j), bool)
-            start[1:] = group[j[1:]] != group[j[:-1]]
-            first = np.flatnonzero(start)
-            rank = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
-            more = np.repeat(np.diff(np.append(first, len(j))) > limit, np.diff(np.append(first, len(j))))
-            for k, m in zip(j[rank < limit].tolist(), more[rank < limit].tolist(), strict=True):
-                yield int(min(fp[i], fp[k])), int(max(fp[i], fp[k])), bool(m)
+def _join(n: np.ndarray, comp: np.ndarray, block: np.ndarray, flat: np.ndarray, num: int, den: int, links) -> Iterator[tuple[int, int]]:
+    """A forest over components: pairs of sets across them that bitmaps leave open and for which ``links(i, j)``.
+
+    Sets of the largest component aren't compared with one another.  With sets of two blocks, only pairs across are.
+    """
+    _, root, size = np.unique(comp, return_inverse=True, return_counts=True)
+    root, big = root.copy(), root == int(size.argmax())
+    cross = bool((block != block[0]).any())
+    place = np.arange(len(n))
+    for i in np.flatnonzero(~big):
+        j = np.flatnonzero((root != root[i]) & (big | (place < i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+        if cross:
+            j = j[block[j] != block[i]]
+        differ = np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64)
+        ok = differ * (num + den) <= (den - num) * (n[j] + n[i])
+        for k in j[ok][np.argsort(differ[ok], kind="stable")].tolist():
+            if root[k] != root[i] and links(int(i), k):
+                root[root == root[k]] = root[i]
+                yield int(i), k
+
+
+def _each_part(columns: tuple[str, ...], solve):
+    """Pairs found by ``solve`` in each run of rows that are equal in the first two of ``columns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def pairs(found: list[tuple]) -> pa.RecordBatch:
-            cols = [[x[k] for x in found] for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
-
         for b in batches:
-            found: list[tuple] = []
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "part", "fp", "n", "comp", "mine", "bits")), strict=True):
+            found: list[tuple[int, int]] = []
+            for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if held and held[-1][:2] != r[:2]:
-                    found += set(solve(held))
+                    found += solve(held)
                     held = []
                 held.append(r)
-            yield pairs(found)
+            yield _pairs(found)
         if held:
-            yield pairs(list(solve(held)))
+            yield _pairs(solve(held))
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _forest(num: int, den: int):
+    """Pairs of components, by bitmaps alone: ``(comp, comp)`` from rows sorted by key and part."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        n, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
+        if (comp == comp[0]).all():
+            return []
+        flat = _flat([np.frombuffer(r[5], np.uint64) for r in rows])
+        return [(rows[i][3], rows[j][3]) for i, j in _join(n, comp, block, flat, num, den, lambda i, j: True)]
+
+    return _each_part(("key", "part", "n", "comp", "mine", "bits"), solve)
+
+
+def _exactly(num: int, den: int):
+    """Links across components, from token sets in rows sorted by cluster and part."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({r[2]: r for r in rows}.values())
+        comp, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+        if (comp == comp[0]).all():
+            return []
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        n = np.array([len(x) for x in sets])
+        flat = _flat([np.frombuffer(x, np.uint64) for x in bitmaps(np.repeat(np.arange(len(n)), n), np.concatenate(sets), n)])
+
+        def links(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return den * both >= num * (len(sets[i]) + len(sets[j]) - both)
+
+        return [(rows[i][2], rows[j][2]) for i, j in _join(n, comp, block, flat, num, den, links)]
+
+    return _each_part(("lead", "block", "fp", "comp", "mine", "tokens"), solve)
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that link: by size and bitmaps first, then by whole token sets.
 
     A set named in many pairs is split into blocks of ``BLOCK`` partners; its tokens go once to each.
     """
-    spark = pairs.sparkSession
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_open(num, den), "a long, b long")
     left = materialize(left, "open")
     sizes = left.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     dealt = left.join(broadcast_if_small(sizes, 200_000), "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    member = dealt.select(F.col("b").alias("fp"), F.struct(F.col("a").alias("lead"), "block").alias("g"))
-    leads = dealt.select(F.col("a").alias("fp"), F.struct(F.col("a").alias("lead"), "block").alias("g")).distinct()
-    wanted = member.union(leads).groupBy("fp").agg(F.collect_list("g").alias("groups"))
-    wanted = materialize(wanted.join(sets.select("fp", "doc_id"), "fp"), "wanted")
-    tokens = narrow.join(broadcast_if_small(wanted, 100_000), "doc_id").select("text", "fp", "groups").mapInArrow(
-        tidy(_setter(width)), "lead long, block long, fp long, tokens binary"
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = tokens.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", F.col("fp") != F.col("lead")).mapInArrow(tidy(_verify(num, den)), "a long, b long")
-    found = materialize(found, "links")
+    group = F.struct(F.col("a").alias("lead"), "block", F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("mine")).alias("g")
+    member = dealt.select(F.col("b").alias("fp"), group)
+    leads = dealt.select(F.col("a").alias("fp"), group).distinct()
+    found = materialize(_with_tokens(member.union(leads), sets, narrow, width, _verify(num, den), [F.col("fp") != F.col("lead")]), "links")
     discard(left)
-    discard(wanted)
     return found
 
 
+def _with_tokens(member: DataFrame, sets: DataFrame, narrow: DataFrame, width: int, solve, order: list) -> DataFrame:
+    """``solve`` over the token sets of ``member(fp, g)``, each sent to the groups ``g`` (lead and block) it is in."""
+    parts = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = materialize(member.groupBy("fp").agg(F.collect_list("g").alias("groups")).join(sets.select("fp", "doc_id"), "fp"), "wanted")
+    tokens = narrow.join(broadcast_if_small(wanted, 100_000), "doc_id").select("text", "fp", "groups").mapInArrow(
+        tidy(_setter(width)), "lead long, block long, comp long, mine long, fp long, tokens binary"
+    )
+    return tokens.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", *order).mapInArrow(tidy(solve), "a long, b long")
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -525,27 +560,13 @@ def jaccard_components(
     met = index.where("fp <> lead").groupBy("fp", "lead").agg(F.sum("c").alias("c"))
     first = met.groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), "b")
     links = _compare(first, sets, narrow, width, num, den)
-    tested, limit, cuts = None, 16, [links]
-    while True:
-        labels = materialize(connected_components(links), "labels")
-        pairs = materialize(_open_pairs(index, sets, labels, num, den, limit), "pairs")
-        more = pairs.where("more").limit(1).count() > 0
-        pairs = pairs.select("a", "b").distinct()
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        tested = pairs if tested is None else tested.union(fresh)
-        found = _compare(fresh, sets, narrow, width, num, den)
-        cuts += [labels, found]
-        if found.limit(1).count() > 0:
-            links = links.union(found)
-        elif not more:
-            break
-        else:
-            limit *= 8
-            continue
-        if not more:
-            labels = materialize(connected_components(links), "labels")
-            break
-        limit *= 8
+    labels = materialize(connected_components(links), "labels")
+    cuts = [links, labels]
+    found = _link_components(index, sets, labels, narrow, width, num, den)
+    if found is not None:
+        cuts.append(found)
+        labels = materialize(connected_components(links.union(found)), "labels")
+        cuts.append(labels)
     labels = labels.select(F.col("node").alias("fp"), F.col("component").alias("root"))
     labelled = profile.drop("bits").join(labels, "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
     least = labelled.where("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -558,16 +579,36 @@ def jaccard_components(
     return out
 
 
-def _open_pairs(index: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """``(a, b, more)``: pairs across components at keys that have several of them."""
+def _link_components(index: DataFrame, sets: DataFrame, labels: DataFrame, narrow: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
+    """Links between sets that share a key but no component yet; None if bitmaps rule all of them out."""
     labels = labels.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
     of = index.select("key", "fp").join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     of = materialize(of, "labelled")
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("f") / BLOCK).cast("long").alias("blocks"))
-    rows = of.join(mixed, "key").join(sets.select("fp", "n", "bits"), "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    part = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part")
-    rows = rows.select("key", part, "fp", "n", "comp", "mine", "bits")
+    mixed = materialize(mixed.select("key", F.ceil(F.col("f") / BLOCK).cast("long").alias("blocks")), "mixed")
+    rows = _in_blocks(of.join(mixed, "key").join(sets.select("fp", "n", "bits"), "fp")).select("key", "part", "n", "comp", "mine", "bits")
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(_across(num, den, limit)), "a long, b long, more boolean").distinct()
+    near = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(_forest(num, den)), "a long, b long")
+    near = materialize(near.distinct(), "near")
+    found = None
+    if near.limit(1).count() > 0:
+        clusters = materialize(connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("lead")), "clusters")
+        # of a cluster's components, the sets that have a key which other components have too
+        members = of.join(mixed.select("key"), "key", "left_semi").select("fp", "comp").distinct().join(clusters, "comp")
+        members = materialize(members, "members")
+        sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        dealt = _in_blocks(members.join(broadcast_if_small(materialize(sizes, "sizes"), 200_000), "lead"))
+        dealt = dealt.select("fp", F.struct("lead", F.col("part").alias("block"), "comp", "mine").alias("g"))
+        found = materialize(_with_tokens(dealt, sets, narrow, width, _exactly(num, den), []), "links")
+        discard(clusters)
+        discard(members)
+    for cut in (of, mixed, near):
+        discard(cut)
+    return found
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows(fp, blocks, ...)`` once for each part of two blocks they are in: ``mine`` is a row's own block."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return rows.withColumn("part", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))

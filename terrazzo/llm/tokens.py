@@ -31,7 +31,7 @@ BITS = 20
 LANES = 1024
 SEGMENT = 1 << 17
 BLOCK = 1 << 19
-GROUP = 1 << 22
+GROUP = 1 << 21
 _LOW = U64(1 << 31)
 
 
@@ -184,7 +184,7 @@ class Encoder:
     """
 
     #: Pieces remembered: some 45 bytes each; and words of new pieces, some 240 bytes each.
-    REMEMBER, WORDS = 500_000, 50_000
+    REMEMBER, WORDS = 300_000, 40_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -464,7 +464,7 @@ def read_ids(spark, path: str) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(path)
     heads = files.select("group", "block", "first_doc", "n_ids")
     groups = heads.groupBy("group").agg(F.min("first_doc").alias("first"), F.sum("n_ids").alias("n"))
-    # a row a group of up to GROUP ids: at 100 TB some six million small rows in the one task of this window
+    # a row a group of up to GROUP ids: at 100 TB some twelve million small rows in the one task of this window
     groups = groups.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("first", "group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inner = F.coalesce(F.sum("n_ids").over(W.partitionBy("group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = heads.withColumn("inner", inner).join(groups, "group").select("group", "block", (F.col("inner") + F.col("before")).alias("base"))
