@@ -177,31 +177,23 @@ def _profile(width: int):
     return run
 
 
-def pack(key: np.ndarray, value: np.ndarray) -> bytes:
-    """Rows ``(key, value)`` as one block: sorted keys by their steps, values by place in a dictionary."""
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    names, place = np.unique(value, return_inverse=True)
-    small = place.astype(np.uint16 if len(names) <= 65536 else np.uint32)
-    planes = np.diff(key, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zlib.compress(b"".join([np.array([len(key), len(names)], np.int64).tobytes(), planes, names.tobytes(), small.tobytes()]), 1)
-
-
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a block made by :func:`pack`."""
-    raw = zlib.decompress(block)
-    n, names = np.frombuffer(raw, np.int64, 2).tolist()
-    planes = np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n)
-    key = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.int64)
-    known = np.frombuffer(raw, np.int64, names, 16 + 8 * n)
-    place = np.frombuffer(raw, np.uint16 if names <= 65536 else np.uint32, n, 16 + 8 * n + 8 * names)
-    return key, known[place]
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in unpack(block.as_py())], ["key", "fp"])
+#: Index rows of one block; its places in the dictionary of fingerprints are 16-bit numbers.
+BLOCK_ROWS = 32_000
+_BLOCK = "part int, keys array<bigint>, names array<bigint>, place array<smallint>"
+
+
+def pack(part: int, key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, value)`` as blocks that Spark unpacks itself: keys, and values by place in a dictionary."""
+    for lo in range(0, len(key), BLOCK_ROWS):
+        names, place = np.unique(value[lo : lo + BLOCK_ROWS], return_inverse=True)
+        columns = [(key[lo : lo + BLOCK_ROWS].view(np.int64), pa.int64()), (names, pa.int64()), (place.astype(np.int16), pa.int16())]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], ["part", "keys", "names", "place"])
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """The rows ``(key, fp)`` of blocks made by :func:`pack`, without a Python worker."""
+    return blocks.select(F.expr("inline(arrays_zip(keys, transform(place, p -> names[p])))").alias("key", "fp"))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: list[int], schemes: list[Scheme], num: int, den: int) -> Iterator[tuple]:
@@ -267,7 +259,7 @@ def key_weights(texts: DataFrame, width: int, bands: list[int], schemes: list[Sc
 
 
 def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den: int, weight: np.ndarray, parts: int):
-    """Blocks ``(part, block)`` of index rows ``(key, fingerprint)``, dealt by key."""
+    """Blocks of index rows ``(key, fingerprint)``, dealt by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f, held = [], [], 0
@@ -279,7 +271,7 @@ def _indexer(width: int, bands: list[int], schemes: list[Scheme], num: int, den:
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 at = order[cut[p] : cut[p + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(k[at], f[at])], pa.binary())], ["part", "block"])
+                yield from pack(int(p), k[at], f[at])
 
         for f, row, key, spare in _signatures(batches, width, bands, schemes, num, den):
             stay = leave_out(row, key, spare, weight)
@@ -552,8 +544,9 @@ def jaccard_components(
     texts = narrow.where("doc_id is not null and text is not null").select("text")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weight = key_weights(texts, width, bands, schemes, num, den, parts)
-    packed = texts.mapInArrow(tidy(_indexer(width, bands, schemes, num, den, weight, parts)), "part int, block binary")
-    rows = packed.repartitionById(parts, F.col("part")).select("block").mapInArrow(tidy(_unpack), "key long, fp long").sortWithinPartitions("key", "fp")
+    packed = texts.mapInArrow(tidy(_indexer(width, bands, schemes, num, den, weight, parts)), _BLOCK)
+    # one Python operator a stage: two in a row would double the workers that an executor keeps
+    rows = unpacked(packed.repartitionById(parts, F.col("part"))).sortWithinPartitions("key", "fp")
     index = rows.mapInArrow(tidy(_live), "key long, fp long, lead long").groupBy("key", "fp", "lead").agg(F.count("*").alias("c"))
     index = materialize(index, "index")
     sets = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(index.select("fp").distinct(), "fp", "left_semi"), "sets")
