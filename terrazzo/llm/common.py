@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows per Arrow batch, so that a batch of whole texts fits a Python worker."""
+    """Bound the rows and bytes per Arrow batch, so that a batch of whole texts or token sets fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def release() -> None:
