@@ -33,8 +33,9 @@ def length(line: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    """Shoelace area, positive for anticlockwise rings."""
-    return _steps(ring, lambda a, b: (a.x * b.y - b.x * a.y) / 2)
+    """Shoelace area, positive for anticlockwise rings; taken from the first vertex, so that digits last far from the origin."""
+    p0 = F.get(ring, F.lit(0))
+    return _steps(ring, lambda a, b: ((a.x - p0.x) * (b.y - p0.y) - (b.x - p0.x) * (a.y - p0.y)) / 2)
 
 
 def area(ring: Column) -> Column:
@@ -49,10 +50,11 @@ def compactness(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Area centroid of a ring (null without area)."""
-    a = signed_area(ring)
-    cx = _steps(ring, lambda p, q: (p.x + q.x) * (p.x * q.y - q.x * p.y))
-    cy = _steps(ring, lambda p, q: (p.y + q.y) * (p.x * q.y - q.x * p.y))
-    return F.when(a != 0, F.struct((cx / (6 * a)).alias("x"), (cy / (6 * a)).alias("y")))
+    a, p0 = signed_area(ring), F.get(ring, F.lit(0))
+    swept = lambda p, q: (p.x - p0.x) * (q.y - p0.y) - (q.x - p0.x) * (p.y - p0.y)
+    cx = _steps(ring, lambda p, q: (p.x + q.x - 2 * p0.x) * swept(p, q))
+    cy = _steps(ring, lambda p, q: (p.y + q.y - 2 * p0.y) * swept(p, q))
+    return F.when(a != 0, F.struct((p0.x + cx / (6 * a)).alias("x"), (p0.y + cy / (6 * a)).alias("y")))
 
 
 def bbox(line: Column) -> Column:
@@ -82,6 +84,22 @@ def angle_to_zero_pi(angle: Column) -> Column:
     return F.when(angle > F.pi(), angle - F.pi()).when(angle < 0, -angle).otherwise(angle)
 
 
+def angle_between_lines(a: Column, b: Column) -> Column:
+    """Angle of two lines at the end they share, towards their second next vertices (next, in lines of two vertices).
+
+    Where they share several, a's end goes before its start and b's start before its end; null if none or if a line
+    has less than two vertices.
+    """
+    nth = lambda g, k, front: F.get(g, k if front else F.size(g) - 1 - k)
+    away = lambda g, front: nth(g, F.when(F.size(g) > 2, 2).otherwise(1), front)
+    end = lambda g, front: nth(g, F.lit(0), front)
+    meet, out = F.size(a) > 1, None
+    for front_a, front_b in ((False, True), (False, False), (True, False), (True, True)):
+        hit, angle = meet & (F.size(b) > 1) & (end(a, front_a) == end(b, front_b)), angle_3_points(away(a, front_a), end(a, front_a), away(b, front_b))
+        out = F.when(hit, angle) if out is None else out.when(hit, angle)
+    return out
+
+
 def curvature(p: Column, q: Column, r: Column) -> Column:
     """One over the radius of the circle through three points; null where two coincide."""
     cross = F.abs((q.x - p.x) * (r.y - p.y) - (r.x - p.x) * (q.y - p.y))
@@ -130,6 +148,59 @@ def extend_by_length(line: Column, by: float, position: str = "both") -> Column:
     return out
 
 
+def point_at(line: Column, at: Column) -> Column:
+    """The point ``at`` along a line, its ends beyond them; null for an empty line."""
+    zero = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("struct<x:double,y:double>").alias("p"))
+
+    def step(s: Column, e: Column) -> Column:
+        n = F.hypot(e.x2 - e.x1, e.y2 - e.y1)
+        t = F.try_divide(at - s.done, n)
+        here = F.when(s.p.isNull() & (n > 0) & (s.done + n >= at), point(e.x1 + (e.x2 - e.x1) * F.greatest(t, F.lit(0.0)), e.y1 + (e.y2 - e.y1) * F.greatest(t, F.lit(0.0)))).otherwise(s.p)
+        return F.struct((s.done + n).alias("done"), here.alias("p"))
+
+    return F.coalesce(F.aggregate(segments(line), zero, step).p, F.get(line, F.size(line) - 1))
+
+
+def middle_point(line: Column) -> Column:
+    """The point at half a line's length."""
+    return point_at(line, length(line) / 2)
+
+
+def distance_to_line(p: Column, line: Column) -> Column:
+    """Distance of a point to the nearest place of a line; null for a line of less than two vertices."""
+
+    def one(s: Column) -> Column:
+        dx, dy = s.x2 - s.x1, s.y2 - s.y1
+        n = dx * dx + dy * dy
+        t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p.x - s.x1) * dx + (p.y - s.y1) * dy, n)))).otherwise(0.0)
+        return F.hypot(p.x - s.x1 - t * dx, p.y - s.y1 - t * dy)
+
+    return F.array_min(F.transform(segments(line), one))
+
+
+def hausdorff(a: Column, b: Column) -> Column:
+    """Largest distance of a vertex of either line to the other line."""
+    far = lambda g, h: F.array_max(F.transform(g, lambda p: distance_to_line(p, h)))
+    return F.greatest(far(a, b), far(b, a))
+
+
+def shortest_edge(line: Column) -> Column:
+    return F.array_min(F.transform(segments(line), lambda s: F.hypot(s.x2 - s.x1, s.y2 - s.y1)))
+
+
+def is_ccw(ring: Column) -> Column:
+    return signed_area(ring) > 0
+
+
+def is_closed(line: Column) -> Column:
+    return (F.size(line) > 1) & (F.get(line, F.lit(0)) == F.get(line, F.size(line) - 1))
+
+
+def to_2d(line: Column) -> Column:
+    """A line of ``struct<x, y, z>`` without z."""
+    return F.transform(line, lambda p: point(p.x, p.y))
+
+
 def bend_side(line: Column) -> Column:
     """``left`` or ``right``: the sign of the doubled area swept from the first vertex."""
     p0 = line[0]
@@ -190,6 +261,11 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
     return hits % 2 == 1
 
 
+def covers_point(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point is in a ring or on it."""
+    return contains_point(ring, x, y) | (distance_to_line(point(x, y), ring) == 0)
+
+
 def circle_arc(a: Column, b: Column, c: Column, rotation: str = "cw", quad_segs: int = 8) -> Column:
     """Vertices from ``b`` to ``c`` around ``a``, both included: ``floor(angle / (pi / 2) * quad_segs) + 2`` of them.
 

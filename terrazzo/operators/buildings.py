@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as G
 from terrazzo.functions.udfs import line_function
+from terrazzo.operators import mcda
 
 
 def size_goal(area: Column, min_area: float, elimination: float) -> Column:
@@ -43,6 +44,62 @@ def size_monitor(current: Column, initial: Column, target: float, epsilon: float
     )
 
 
+def position_monitor(moved: Column, goal: float, epsilon: float = 0.001) -> Column:
+    """Satisfaction 1 to 8 by how far an object was moved, against the distance that may be; 7 for null."""
+    rungs = [(moved < goal * k, level) for k, level in ((0.25, 7), (0.5, 6))] + [(moved <= goal, 5)] + [(moved < goal * k, level) for k, level in ((1.5, 4), (2.0, 3), (2.5, 2))]
+    out = F.when(moved.isNull(), 7).when(moved < epsilon, 8)
+    for met, level in rungs:
+        out = out.when(met, level)
+    return out.otherwise(1)
+
+
+def granularity_monitor(line: Column, min_length: float, epsilon: float) -> Column:
+    """Satisfaction 1 to 8 by a ring's or line's shortest edge and its vertices a unit of length; 7 for null, 1 for one without length."""
+    edge, density = G.shortest_edge(line), F.try_divide(F.size(line), G.length(line))
+    over = lambda share: edge > share * min_length
+    return (
+        F.when(line.isNull(), 7).when(edge >= min_length, 8).when(over(0.75) & (density < epsilon), 7).when(density < epsilon, 6)
+        .when(over(0.75) & (density < 2 * epsilon), 5).when(over(0.5) & (density < 2 * epsilon), 4)
+        .when(over(0.5) & (density > 2 * epsilon), 3).when(over(0.25) & (density > 2 * epsilon), 2).otherwise(1)
+    )
+
+
+def elimination_criteria(buildings: DataFrame, min_area: float, threshold: float = 70.0) -> DataFrame:
+    """``(block, rid, size, congestion, directions, corner, neighbours)``: what speaks for a building's removal.
+
+    ``buildings`` are ``(block, rid, area, corner, directions, n_building_edges, n_edges)``, with the congestion by
+    direction as an array.  An area under ``min_area`` counts as that where they are over 15 apart; up to the threshold
+    size is 1 and falls beyond in two slopes.  Without congested directions or edges, the criterion is 0.
+    """
+    area = F.when(F.lit(float(min_area)) - F.col("area") > 15, F.lit(float(min_area))).otherwise(F.col("area"))
+    size = F.when(area <= threshold, 1.0).when(area <= 2 * threshold, 1 - (area + 1) / (2 * threshold)).otherwise(1 - area / (4 * threshold))
+    over = lambda least: F.filter("directions", lambda c: c > least)
+    mean = F.when(F.size(over(0.0)) > 0, F.try_divide(F.aggregate(over(0.0), F.lit(0.0), lambda a, c: a + c), F.size(over(0.0)))).otherwise(0.0)
+    return buildings.select(
+        "block", "rid", size.alias("size"), mean.alias("congestion"), F.size(over(0.08)).cast("double").alias("directions"),
+        F.col("corner").cast("double").alias("corner"), F.when(F.col("n_edges") > 0, F.try_divide("n_building_edges", "n_edges")).otherwise(0.0).alias("neighbours"),
+    )
+
+
+def _elimination() -> list:
+    """Criteria, preference functions and weights of the removal of a building from its block."""
+    # Fixed values. Full preference is set to begin under the bound up to which there is none, so all five are steps.
+    return [
+        ("size", mcda.linear(0.1, 0.7), 0.2), ("congestion", mcda.level(0.2, 0.4), 0.2), ("directions", mcda.level(0.2, 0.4), 0.2),
+        ("corner", mcda.u_shape(0.5), 0.2), ("neighbours", mcda.linear(0.15, 0.6), 0.2),
+    ]
+
+
+def elimination_ranking(buildings: DataFrame, min_area: float, threshold: float = 70.0) -> DataFrame:
+    """``(block, rid, phi, rank)``: each block's buildings by ascending net flow; see ``elimination_criteria``."""
+    return mcda.promethee(elimination_criteria(buildings, min_area, threshold), "block", "rid", _elimination())
+
+
+def elimination_best(buildings: DataFrame, min_area: float, threshold: float = 70.0) -> DataFrame:
+    """``(block, rid)``: the building of each block that is best removed."""
+    return mcda.best(elimination_criteria(buildings, min_area, threshold), "block", "rid", _elimination())
+
+
 def block_density_satisfaction(now: Column, goal: Column) -> Column:
     return F.greatest(F.lit(0.0), 100 - F.bround(F.abs(now - goal) / 0.003))
 

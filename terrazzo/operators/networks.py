@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from terrazzo.functions import geometry as G
 from terrazzo.plans.components import connected_components
 from terrazzo.plans.durable import discard, materialize
-from terrazzo.plans.spatial import self_pairs
+from terrazzo.plans.spatial import points_in_rings, self_pairs
 
 
 def edges_of(lines: DataFrame, digits: int = 6) -> DataFrame:
@@ -114,6 +114,36 @@ def strahler(edges: DataFrame) -> DataFrame:
     return e.select("rid").join(done.select("rid", "strahler"), "rid", "left")
 
 
+def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
+    """``(rid, src, dst, length)``: the edges of a minimum spanning forest; equal lengths go by ``rid``, loops never.
+
+    Rounds: each tree takes its least edge out, and trees so joined become one.  Their number at least halves a round.
+    """
+    left = materialize(edges.where("src <> dst").select("rid", "src", "dst", "length", F.col("src").alias("a"), F.col("dst").alias("b")), "left")
+    tree = None
+    while left.limit(1).count() > 0:
+        sides = left.select(F.col("a").alias("t"), "rid", "length").union(left.select("b", "rid", "length"))
+        least = sides.groupBy("t").agg(F.min_by("rid", F.struct("length", "rid")).alias("rid")).select("rid").distinct()
+        taken = materialize(left.join(least, "rid", "left_semi"), "taken")
+        comp = connected_components(taken, "a", "b")
+        to = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias("n" + k))
+        merged = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select("rid", "src", "dst", "length", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
+        nxt = materialize(merged.where("a <> b"), "left")
+        discard(left)
+        left, part = nxt, taken.select("rid", "src", "dst", "length")
+        tree = part if tree is None else tree.union(part)
+    return left.select("rid", "src", "dst", "length") if tree is None else tree
+
+
+def partition_networks(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
+    """``(rid, face)``: points ``(rid, x, y)`` by the bounded faces of a planar network; on an edge they join several.
+
+    Points meet faces in grid cells of ``cell``.  Points in no face are left out.
+    """
+    f = faces(lines).select(F.col("face").alias("ring_id"), F.col("geom").alias("ring"))
+    return points_in_rings(points, f, cell, edges=True).withColumnRenamed("ring_id", "face")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float = float("inf"), max_rounds: int | None = None) -> DataFrame:
     """``(source, node, cost)``: cheapest costs over undirected ``edges(src, dst, length)`` from ``sources(node)``.
 

@@ -80,8 +80,8 @@ def group_intersecting(boxes: DataFrame, cell: float) -> DataFrame:
     return connected_components(pairs, "l_rid", "r_rid")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
-    """``(rid, ring_id)`` of points ``(rid, x, y)`` in rings ``(ring_id, ring)``."""
+def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, edges: bool = False) -> DataFrame:
+    """``(rid, ring_id)`` of points ``(rid, x, y)`` in rings ``(ring_id, ring)``; with ``edges`` also of those on them."""
     from terrazzo.functions import geometry as G
 
     box = rings.withColumn("b", G.bbox(F.col("ring")))
@@ -89,4 +89,4 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float) -> DataFra
     box = box.withColumn("cy", F.explode(F.sequence(cell_of(F.col("b.ymin"), cell), cell_of(F.col("b.ymax"), cell))))
     p = points.select("rid", "x", "y", cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy"))
     met = p.join(box, ["cx", "cy"]).where("x >= b.xmin and x <= b.xmax and y >= b.ymin and y <= b.ymax")
-    return met.where(G.contains_point(F.col("ring"), F.col("x"), F.col("y"))).select("rid", "ring_id")
+    return met.where((G.covers_point if edges else G.contains_point)(F.col("ring"), F.col("x"), F.col("y"))).select("rid", "ring_id")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as G
+from terrazzo.functions import vectors as V
 from terrazzo.functions.udfs import bend_measures, line_function, measure, surfacic_distance
 from terrazzo.operators import buildings as B
 from terrazzo.operators import mcda, networks, partition, points, propagation, terrain
 from terrazzo.plans import components, spatial
 from terrazzo.sources import fixtures as X
+from terrazzo.sources import vector
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -284,11 +286,17 @@ _add(
     f"""with recursive e as (select (x1 * 100 + y1 / 100)::bigint as a, (x2 * 100 + y2 / 100)::bigint as b from ({ROADS})), u as (select a, b from e union select b, a from e),
     r(node, other) as (select a, a from u union select r.node, u.b from r join u on r.other = u.a) select node, min(other) as component from r group by node""",
 )
-#: Roads whose columns come in pairs 40 apart: junctions joined by such an edge are drawn together.
-_SQUEEZED = F.transform("geom", lambda p: G.point(F.floor(p.x / 200) * 200 + (p.x % 200) * 0.4, p.y))
+
+
+def _squeezed(s, d) -> DataFrame:
+    """Roads whose columns come in pairs 40 apart: junctions joined by such an edge are drawn together."""
+    squeeze = lambda p: G.point(F.floor(p.x / 200) * 200 + (p.x % 200) * 0.4, p.y)
+    return X.roads_from_orders(s, d).withColumn("geom", F.transform("geom", squeeze))
+
+
 _add(
     "collapse_junctions",
-    lambda s, d: networks.collapse_junctions(X.roads_from_orders(s, d).withColumn("geom", _SQUEEZED), 50.0).select(
+    lambda s, d: networks.collapse_junctions(_squeezed(s, d), 50.0).select(
         "rid", *(F.round(F.col("geom")[i][c], 6).alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy")
     ),
     f"""with r as (select *, x1 % 200 = 0 and y1 = y2 as inner_ from ({ROADS})), g as (select x1, y1 from r where inner_),
@@ -474,3 +482,174 @@ def _collapsed(s, d) -> DataFrame:
 
 
 _add("collapse_roundabouts", _collapsed)
+
+
+# --- vectors, places on lines, parts of lines --------------------------------------------------------------------------
+
+
+def _vectors(s, d) -> DataFrame:
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    at = lambda i: F.col("embedding")[i].cast("double")
+    e = e.select(F.col("vec_id").alias("rid"), G.point(at(0), at(1)).alias("u"), G.point(at(2), at(3)).alias("v"))
+    u, v, a = F.col("u"), F.col("v"), F.lit(0.7)
+    pairs = {"project": V.project(u, a), "rotate": V.rotate(u, a), "double": V.with_norm(u, F.lit(2.0)), "total": V.add(u, V.opposite(v)), "by": V.between(u, V.scale(v, F.lit(3.0)))}
+    single = {"dot": V.dot(u, v), "cross": V.cross(u, v), "norm": V.norm(u), "direction": V.direction(u), "angle": V.angle(u, v)}
+    return e.select("rid", *(c.alias(k) for k, c in single.items()), *(c[k].alias(f"{n}_{k}") for n, c in pairs.items() for k in "xy"))
+
+
+_add(
+    "vector_operations", _vectors,
+    """with e as (select vec_id as rid, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c, embedding[4]::double as d from embeddings),
+    n as (select *, sqrt(a * a + b * b) as nu, sqrt(c * c + d * d) as nv, a * cos(0.7::double) + b * sin(0.7::double) as p from e)
+    select rid, round(a * c + b * d, 6) as dot, round(a * d - b * c, 6) as cross, round(nu, 6) as norm, round(atan2(b, a), 6) as direction,
+      round(acos(greatest(-1, least(1, (a * c + b * d) / (nu * nv)))), 6) as angle, round(p * cos(0.7::double), 6) as project_x, round(p * sin(0.7::double), 6) as project_y,
+      round(a * cos(0.7::double) - b * sin(0.7::double), 6) as rotate_x, round(a * sin(0.7::double) + b * cos(0.7::double), 6) as rotate_y,
+      round(2 * a / nu, 6) as double_x, round(2 * b / nu, 6) as double_y, round(a - c, 6) as total_x, round(b - d, 6) as total_y, round(3 * c - a, 6) as by_x, round(3 * d - b, 6) as by_y from n""",
+)
+_SEG = f"o as ({ORD}), s as (select rid, pos, x, y, lead(x) over w as x2, lead(y) over w as y2 from o window w as (partition by rid order by pos))"
+_add(
+    "line_middle_point",
+    lambda s, d: X.lines_from_orders(s, d).select("rid", G.middle_point(F.col("geom")).alias("p")).select("rid", "p.x", "p.y"),
+    f"""with {_SEG}, l as (select *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) as len from s where x2 is not null),
+    c as (select *, sum(len) over (partition by rid order by pos) as cum, sum(len) over (partition by rid) as tot from l),
+    f as (select *, (tot / 2 - cum + len) / len as t from c where cum >= tot / 2 qualify row_number() over (partition by rid order by pos) = 1)
+    select rid, round(x + (x2 - x) * t, 6) as x, round(y + (y2 - y) * t, 6) as y from f""",
+)
+_V = "v as (select rid, first(n) as n, " + ", ".join(f"max(case when pos = {i} then {c} end) as {c}{i}" for i in range(1, 6) for c in "xy") + " from o group by rid)"
+_add(
+    "angle_between_lines",
+    lambda s, d: X.lines_from_orders(s, d).where(F.size("geom") > 3).select("rid", G.angle_between_lines(F.slice("geom", 1, 3), F.slice("geom", F.lit(3), F.size("geom") - 2)).alias("angle")),
+    f"""with o as ({ORD}), {_V} select rid, round(atan2(coalesce(y5, y4) - y3, coalesce(x5, x4) - x3) - atan2(y1 - y3, x1 - x3), 6) as angle from v where n > 3""",
+)
+_add(
+    "angles_and_curvature",
+    lambda s, d: X.lines_from_orders(s, d).select("rid", *(F.col("geom")[i].alias(f"p{i + 1}") for i in range(3))).select(
+        "rid", G.angle_2_points(F.col("p1"), F.col("p2")).alias("angle2"), G.angle_3_points(F.col("p1"), F.col("p2"), F.col("p3")).alias("angle3"),
+        G.angle_to_zero_pi(F.round(G.angle_3_points(F.col("p1"), F.col("p2"), F.col("p3")), 9)).alias("folded"), G.curvature(F.col("p1"), F.col("p2"), F.col("p3")).alias("curvature"),
+    ),
+    f"""with o as ({ORD}), {_V}, a as (select *, atan2(y3 - y2, x3 - x2) - atan2(y1 - y2, x1 - x2) as a3 from v)
+    select rid, round(atan2(y2 - y1, x2 - x1), 6) as angle2, round(a3, 6) as angle3, round(case when round(a3, 9) > pi() then round(a3, 9) - pi() when a3 < 0 then -a3 else a3 end, 6) as folded,
+      round(2 * abs((x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1)) / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) * sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2) * sqrt((x3 - x1) ** 2 + (y3 - y1) ** 2)), 6) as curvature from a""",
+)
+_add(
+    "hausdorff_to_chord",
+    lambda s, d: X.lines_from_orders(s, d).select("rid", G.hausdorff(F.col("geom"), F.array(F.col("geom")[0], F.element_at("geom", -1))).alias("distance")),
+    f"""with o as ({ORD}), e as (select rid, arg_min(x, pos) as ax, arg_min(y, pos) as ay, arg_max(x, pos) as bx, arg_max(y, pos) as by_ from o group by rid),
+    t as (select o.*, ax, ay, bx - ax as dx, by_ - ay as dy, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) as t from o join e using (rid))
+    select rid, round(max(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)), 6) as distance from t group by rid""",
+)
+_add(
+    "merge_linestrings",
+    lambda s, d: _vertices(X.lines_from_orders(s, d).select("rid", G.split_at_vertex(F.col("geom"), F.get("geom", F.lit(1))).alias("p")).select("rid", G.merge_lines(F.reverse(F.get("p", F.lit(0))), F.get("p", F.lit(1))).alias("geom"))),
+    f"select rid, (pos - 1)::int as pos, x, y from ({ORD})",
+)
+_add(
+    "split_line_at_vertex",
+    lambda s, d: X.lines_from_orders(s, d).select("rid", F.posexplode(G.split_at_vertex(F.col("geom"), F.col("geom")[1])).alias("part", "g")).select("rid", "part", F.size("g").alias("n"), F.col("g")[0]["y"].alias("y")),
+    f"with o as ({ORD}) select rid, part::int as part, (case when part = 0 then 2 else first(n) - 1 end)::int as n, max(case when pos = part + 1 then y end) as y from o, range(2) r(part) group by rid, part",
+)
+_add(
+    "extend_line",
+    lambda s, d: X.lines_from_orders(s, d).select("rid", G.extend_by_length(G.extend_with_point(F.col("geom"), G.point(F.lit(0.0), F.lit(0.0))), 5.0).alias("g")).select("rid", F.size("g").alias("n"), F.col("g")[0]["x"].alias("x1"), F.col("g")[0]["y"].alias("y1"), F.element_at("g", -1)["x"].alias("x2"), F.element_at("g", -1)["y"].alias("y2")),
+    f"""with o as ({ORD}), e as (select rid, first(n) as n, arg_min(x, pos) as fx, arg_min(y, pos) as fy, max(case when pos = n then x end) as lx, max(case when pos = n then y end) as ly, max(case when pos = n - 1 then x end) as kx, max(case when pos = n - 1 then y end) as ky from o group by rid)
+    select rid, (n + 3)::int as n, round(-5 * fx / sqrt(fx ** 2 + fy ** 2), 6) as x1, round(-5 * fy / sqrt(fx ** 2 + fy ** 2), 6) as y1,
+      round(lx + 5 * (lx - kx) / sqrt((lx - kx) ** 2 + (ly - ky) ** 2), 6) as x2, round(ly + 5 * (ly - ky) / sqrt((lx - kx) ** 2 + (ly - ky) ** 2), 6) as y2 from e""",
+)
+_add(
+    "multi_to_simple",
+    lambda s, d: vector.explode_multi(X.lines_from_orders(s, d).select("rid", F.transform(G.segments(F.col("geom")), lambda e: F.array(G.point(e.x1, e.y1), G.point(e.x2, e.y2))).alias("geom"))).select("rid", F.col("geom")[0]["x"].alias("x1"), F.col("geom")[0]["y"].alias("y1"), F.col("geom")[1]["x"].alias("x2"), F.col("geom")[1]["y"].alias("y2")),
+    f"with {_SEG} select rid, x as x1, y as y1, x2, y2 from s where x2 is not null",
+)
+_add(
+    "convert_3d_to_2d",
+    lambda s, d: _vertices(X.lines_from_orders(s, d).select("rid", G.to_2d(F.transform("geom", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), (p.x + p.y).alias("z")))).alias("geom"))),
+    f"select rid, (pos - 1)::int as pos, x, y from ({ORD})",
+)
+_add("seeded_sample", lambda s, d: vector.seeded_sample(X.points_from_events(s, d), "rid", 0.1, 7))
+
+# --- rings, monitors, removal from blocks --------------------------------------------------------------------------------
+
+_BLC = "select p_partkey as rid, (p_partkey % 50) * 40.0::double as cx, (p_partkey // 50) * 40.0::double as cy, 8 + p_size * 0.3::double as w, (6 + (p_partkey % 7) * 2)::double as h, p_partkey % 3 = 0 as ell from part"
+_add(
+    "polygon_centroid",
+    lambda s, d: X.buildings_from_parts(s, d).select("rid", G.centroid(F.col("geom")).alias("c")).select("rid", "c.x", "c.y"),
+    f"select rid, round(case when ell then cx - w / 12 else cx end, 6) as x, round(case when ell then cy - h / 12 else cy end, 6) as y from ({_BLC})",
+)
+_add(
+    "polygon_envelope",
+    lambda s, d: X.buildings_from_parts(s, d).select("rid", G.bbox(F.col("geom")).alias("b"), G.is_ccw(F.col("geom")).alias("ccw"), G.is_closed(F.col("geom")).alias("closed")).select("rid", "b.*", "ccw", "closed"),
+    f"select rid, round(cx - w / 2, 6) as xmin, round(cy - h / 2, 6) as ymin, round(cx + w / 2, 6) as xmax, round(cy + h / 2, 6) as ymax, true as ccw, true as closed from ({_BLC})",
+)
+_add(
+    "points_in_rings",
+    lambda s, d: spatial.points_in_rings(
+        s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("rid"), (F.col("c_custkey") * 37 % 2000 + 0.2512345).alias("x"), (F.col("c_custkey") * 53 % 1600 + 0.2512345).alias("y")),
+        X.buildings_from_parts(s, d).select(F.col("rid").alias("ring_id"), F.col("geom").alias("ring")), 40.0,
+    ),
+    f"""with p as (select c_custkey as rid, c_custkey * 37 % 2000 + 0.2512345::double as x, c_custkey * 53 % 1600 + 0.2512345::double as y from customer), b as ({_BLC})
+    select p.rid, b.rid as ring_id from p join b on x between cx - w / 2 and cx + w / 2 and y between cy - h / 2 and cy + h / 2 and not (ell and x > cx and y > cy)""",
+)
+_add(
+    "building_position_monitor",
+    lambda s, d: X.points_from_events(s, d).select("rid", B.position_monitor(V.norm(G.point(F.col("w"), F.col("r") - 10)), 5.0).alias("level")),
+    f"select rid, case when m < 0.001 then 8 when m < 1.25 then 7 when m < 2.5 then 6 when m <= 5 then 5 when m < 7.5 then 4 when m < 10 then 3 when m < 12.5 then 2 else 1 end::int as level from (select rid, sqrt(w * w + (r - 10) * (r - 10)) as m from ({EVT}))",
+)
+_add(
+    "object_granularity_monitor",
+    lambda s, d: X.buildings_from_parts(s, d).select("rid", B.granularity_monitor(F.col("geom"), 10.0, 0.103).alias("level")),
+    f"""with v as (select rid, case when ell then least(w, h) / 2 else least(w, h) end as m, case when ell then 7 else 5 end / (2 * (w + h)) as k from ({BLD}))
+    select rid, case when m >= 10 then 8 when m > 7.5 and k < 0.103 then 7 when k < 0.103 then 6 when m > 7.5 and k < 0.206 then 5 when m > 5 and k < 0.206 then 4 when m > 5 and k > 0.206 then 3 when m > 2.5 and k > 0.206 then 2 else 1 end::int as level from v""",
+)
+
+
+def _block_buildings(s, d) -> DataFrame:
+    """Buildings by 25 a block, with made-up congestion and neighbours."""
+    r = F.col("rid")
+    directions = F.array((r % 5) * 0.13, (r % 3) * 0.21, (r % 7) * 0.07)
+    return X.buildings_from_parts(s, d).select(
+        F.expr("rid div 25").alias("block"), "rid", G.area(F.col("geom")).alias("area"), (r % 4 == 0).alias("corner"), directions.alias("directions"), (r % 6).alias("n_building_edges"), (r % 6 + r % 3).alias("n_edges")
+    )
+
+
+_add(
+    "block_density",
+    lambda s, d: B.block_density(_block_buildings(s, d), _block_buildings(s, d).select("block", F.lit(39989.0).alias("area")).distinct())
+    .join(B.block_density(_block_buildings(s, d), _block_buildings(s, d).select("block", F.lit(39989.0).alias("area")).distinct(), 200.0).withColumnRenamed("density", "simulated"), "block")
+    .select("*", B.block_density_satisfaction(F.col("density"), F.lit(0.1)).alias("satisfaction"), B.block_proximity_satisfaction(F.col("density")).alias("proximity")),
+    f"""with b as (select rid // 25 as block, {_A} as a from ({BLD})), d as (select block, sum(a) / 39989 as density, sum(greatest(a, 200)) / 39989 as simulated from b group by block)
+    select block, round(density, 6) as density, round(simulated, 6) as simulated, greatest(0, 100 - round_even(abs(density - 0.1) / 0.003::double, 0))::double as satisfaction, greatest(0, 100 - round_even(density / 0.005::double, 0))::double as proximity from d""",
+)
+_FLOW = f"""with b as (select rid // 25 as block, rid, greatest({_A}, 100) as big, {_A} as a, (rid % 4 = 0)::int as corner, (rid % 5) * 0.13::double as d1, (rid % 3) * 0.21::double as d2, (rid % 7) * 0.07::double as d3, rid % 6 as nb, rid % 6 + rid % 3 as ne from ({BLD})),
+s as (select *, case when big - a > 15 then big else a end as v, (d1 > 0)::int + (d2 > 0)::int + (d3 > 0)::int as k from b),
+c as (select block, rid, case when v <= 71.3::double then 1 when v <= 142.6::double then 1 - (v + 1) / 142.6::double else 1 - v / 285.2::double end as c1, case when k > 0 then (d1 + d2 + d3) / k else 0 end as c2,
+  (d1 > 0.08)::int + (d2 > 0.08)::int + (d3 > 0.08)::int as c3, corner as c4, case when ne > 0 then nb::double / ne else 0 end as c5 from s),
+f as (select p.block, p.rid, coalesce(sum(case when p.rid <> q.rid then 0.2::double * ({" + ".join(f"(p.{c} - q.{c} > {k})::int - (q.{c} - p.{c} > {k})::int" for c, k in (("c1", "0.7::double"), ("c2", "0.4::double"), ("c3", "0.4::double"), ("c4", "0.5::double"), ("c5", "0.6::double")))}) end) / nullif(count(*) - 1, 0), 0) as phi
+  from c p join c q on p.block = q.block group by p.block, p.rid) """
+_add(
+    "building_elimination_ranking",
+    lambda s, d: B.elimination_ranking(_block_buildings(s, d), 100.0, 71.3).withColumn("phi", F.col("phi") + 1e-9),
+    _FLOW + "select block, rid, round(phi + 1e-9, 6) as phi, row_number() over (partition by block order by round(phi, 9), rid)::int as rank from f",
+)
+_add(
+    "building_elimination_best",
+    lambda s, d: B.elimination_best(_block_buildings(s, d), 100.0, 71.3),
+    _FLOW + "select block, rid from f qualify row_number() over (partition by block order by round(phi, 9) desc, rid) = 1",
+)
+
+# --- spanning trees, faces as partitions ---------------------------------------------------------------------------------
+
+_add(
+    "minimum_spanning_tree",
+    lambda s, d: networks.minimum_spanning_tree(networks.create_graph(X.roads_from_orders(s, d))[1].withColumn("length", F.col("length") + F.col("rid") * 37 % 101)).select("rid", "length"),
+    f"""with recursive e as (select rid, (x1 * 100 + y1 / 100)::bigint as a, (x2 * 100 + y2 / 100)::bigint as b, 100.0::double + rid * 37 % 101 as length from ({ROADS})),
+    u as (select rid, a, b, length from e union all select rid, b, a, length from e),
+    r(rid, l, goal, n) as (select rid, length, b, a from e union select r.rid, r.l, r.goal, u.b from r join u on u.a = r.n where u.length < r.l or (u.length = r.l and u.rid < r.rid))
+    select rid, length from e where rid not in (select rid from r where n = goal)""",
+)
+_add(
+    "partition_networks",
+    lambda s, d: networks.partition_networks(
+        s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("rid"), (F.col("c_custkey") * 37 % 2000).cast("double").alias("x"), (F.col("c_custkey") * 53 % 2000).cast("double").alias("y")),
+        X.roads_from_orders(s, d), 200.0,
+    ),
+)

@@ -26,3 +26,14 @@ def write_geojson_lines(df: DataFrame, path: str) -> None:
 def read_wkt(spark: SparkSession, path: str, column: str = "wkt") -> DataFrame:
     """A CSV table with a WKT column, and its vertices as ``geom``."""
     return spark.read.option("header", "true").csv(path).withColumn("geom", G.from_wkt(F.col(column)))
+
+
+def explode_multi(df: DataFrame, column: str = "geom") -> DataFrame:
+    """A row for each part of multi-lines ``array<line>``, the other columns repeated; null and empty ones go."""
+    return df.withColumn(column, F.explode(column))
+
+
+def seeded_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by a hash of ``key`` and ``seed``: alike in every run and partitioning."""
+    top = 1 << 30
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(top)) < round(fraction * top))

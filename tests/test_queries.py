@@ -9,7 +9,9 @@ NAMES = [
     "labelgrid_aggregation_square", "labelgrid_selection_square", "labelgrid_aggregation_hexagonal", "heatmap_quartic", "quadtree_aggregation", "partition_grid", "line_length",
     "smooth_wma", "simplify_whirlpool", "simplify_li_openshaw", "polygon_compactness", "building_granularity_constraint", "dwithin_self_join", "graph_nodes_degree",
     "attributes_from_longest", "promethee_ranking", "dtm_hillshade", "surfacic_distance_shifted", "building_congestion", "circle_interpolation",
-    "interpolate_displacement_vectors", "propagation_crow_flies",
+    "interpolate_displacement_vectors", "propagation_crow_flies", "vector_operations", "line_middle_point", "angle_between_lines", "angles_and_curvature", "hausdorff_to_chord",
+    "merge_linestrings", "split_line_at_vertex", "extend_line", "multi_to_simple", "convert_3d_to_2d", "polygon_centroid", "polygon_envelope", "points_in_rings", "building_position_monitor",
+    "object_granularity_monitor", "block_density", "building_elimination_ranking", "building_elimination_best", "minimum_spanning_tree",
 ]
 
 
@@ -50,3 +52,11 @@ def test_empty_points(spark):
     assert points.labelgrid_aggregation(none, 1.0, column="value").count() == 0
     assert points.heatmap(none, 1.0, 2.0).count() == 0
     assert points.quadtree_aggregation(none, 3).count() == 0
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
