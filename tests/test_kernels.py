@@ -43,6 +43,15 @@ def test_squaring_and_rectangles():
     assert abs(K.shoelace(K.enlarge(skew, 100))) == pytest.approx(100)
 
 
+def test_enclosing_rectangle_runs_clockwise_from_its_lower_left_corner():
+    same(K.enclosing_rectangle(np.array([(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 0), (0, 0)], float)), [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)])
+    turn = np.array([(0.8, 0.6), (-0.6, 0.8)])
+    box = np.array([(0, 0), (0, 3), (7, 3), (7, 0), (0, 0)], float) @ turn
+    for k in range(4):
+        for ring in (np.roll(box[:4], k, axis=0), np.roll(box[3::-1], k, axis=0)):
+            same(K.enclosing_rectangle(np.vstack([ring, ring[:1]]) + 500), box + 500)
+
+
 ZIG = np.array([(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)], float)
 
 
