@@ -52,6 +52,12 @@ def test_enclosing_rectangle_runs_clockwise_from_its_lower_left_corner():
             same(K.enclosing_rectangle(np.vstack([ring, ring[:1]]) + 500), box + 500)
 
 
+def test_regularized_rectangle_is_scaled_about_its_centre():
+    ell = np.array([(0, 0), (0, 2), (1, 2), (1, 1), (2, 1), (2, 0), (0, 0)], float)
+    same(K.regularize_rectangle(ell), [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)])
+    same(K.regularize_rectangle(ell, 1.5), [(-0.5, -0.5), (-0.5, 2.5), (2.5, 2.5), (2.5, -0.5), (-0.5, -0.5)])
+
+
 ZIG = np.array([(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)], float)
 
 
