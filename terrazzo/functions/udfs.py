@@ -20,7 +20,7 @@ LINE_FUNCTIONS: dict[str, Callable] = {
     "simplify_raposo": K.raposo, "simplify_wang_muller": K.wang_muller, "smooth_gaussian": K.gaussian, "smooth_wma": K.moving_average,
     "smooth_taubin": K.taubin, "smooth_chaikin": K.chaikin, "smooth_catmull_rom": K.catmull_rom, "smooth_platre": K.platre, "smooth_snake": K.snake,
     "smooth_topographic": K.topographic, "resample_line": K.resample, "remove_flat_vertices": K.remove_flat_vertices, "convex_hull": K.convex_hull,
-    "enclosing_rectangle": K.enclosing_rectangle, "regularize_building_rectangle": K.regularize_rectangle, "square_polygon_naive": K.square_naive, "enlarge_polygon": K.enlarge,
+    "enclosing_rectangle": K.enclosing_rectangle, "regularize_building_rectangle": K.regularize_rectangle, "square_polygon_naive": BK.square_corners, "square_polygon_edges": K.square_naive, "enlarge_polygon": K.enlarge,
     "square_polygon_orthogonal": BK.square_orthogonal, "square_polygon_ls": BK.square_least_squares, "accordion": K.accordion,
 }
 #: Ring to number.

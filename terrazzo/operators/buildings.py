@@ -122,7 +122,7 @@ def generalize_buildings(buildings: DataFrame, min_area: float, elimination: flo
     b = buildings.withColumn("__a", G.area(F.col("geom"))).where(F.col("__a") >= elimination)
     grown = F.transform("geom", lambda p: F.struct(*[(F.col("__c")[k] + (p[k] - F.col("__c")[k]) * F.sqrt(F.lit(float(min_area)) / F.col("__a"))).alias(k) for k in "xy"]))
     b = b.withColumn("__c", G.centroid(F.col("geom"))).withColumn("geom", F.when((F.col("__a") < min_area) & F.col("__c").isNotNull(), grown).otherwise(F.col("geom")))
-    b = b.withColumn("__s", line_function("square_polygon_naive", tolerance=angle)("geom"))
+    b = b.withColumn("__s", line_function("square_polygon_edges", tolerance=angle)("geom"))
     now, was = G.area(F.col("__s")), G.area(F.col("geom"))
     return b.withColumn("geom", F.when(F.abs(now - was) <= was / 4, F.col("__s")).otherwise(F.col("geom"))).drop("__a", "__c", "__s")
 

@@ -28,6 +28,26 @@ def test_overlay_areas():
     assert BK.surfacic_distance(SQUARE, SQUARE + [2, 1]) == pytest.approx(1 - 6 / 26)
 
 
+def test_squaring_corner_by_corner(spark):
+    from terrazzo.functions.udfs import line_function
+
+    documented = [(0, 0), (0, 1), (1.1, 1), (1, 0), (0, 0)]
+    bulge = [(0, 0), (5, 0.2), (10, 0), (10, 10), (0, 10), (0, 0)]
+    out = got(lines(spark, documented, bulge).select("rid", line_function("square_polygon_naive")("geom").alias("geom")))
+    assert out[0] == [(0, 0), (0, 1), (1.1, 1), (1.1, -0.004988), (0, 0)]
+    assert out[1] == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    # the corner at the origin is 43.5 degrees; the edge that turns takes the longer one's length
+    sharp = np.array([(0, 0), (10, 0), (10, 9.5), (0, 0)])
+    want = np.array([(0, 0), (13.7885822, -0.3535534), (10, 9.5), (0, 0)])
+    for a in np.arange(0, 2 * np.pi, 0.3):
+        turn = np.array([(np.cos(a), np.sin(a)), (-np.sin(a), np.cos(a))])
+        assert np.allclose(BK.square_corners(sharp @ turn + 70), want @ turn + 70)
+    twice = np.array([(0, 0), (0, 0), (0, 1), (1.1, 1), (1.1, 1), (1, 0), (0, 0)])
+    assert np.allclose(BK.square_corners(twice), BK.square_corners(np.array(documented)))
+    for same in ([(0, 0), (1, 0), (2, 0), (0, 0)], [(3, 3)] * 5, ELL):
+        assert np.allclose(BK.square_corners(np.array(same, float)), same)
+
+
 def test_widths_and_squaring():
     assert BK.min_width(SQUARE * [1, 0.5]) == pytest.approx(2)
     # middles (2, 0) and (3, 2) of the bottom and the inner level edge

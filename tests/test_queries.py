@@ -12,7 +12,7 @@ NAMES = [
     "interpolate_displacement_vectors", "propagation_crow_flies", "vector_operations", "line_middle_point", "angle_between_lines", "angles_and_curvature", "hausdorff_to_chord",
     "merge_linestrings", "split_line_at_vertex", "extend_line", "multi_to_simple", "convert_3d_to_2d", "polygon_centroid", "polygon_envelope", "points_in_rings", "building_position_monitor",
     "object_granularity_monitor", "block_density", "building_elimination_ranking", "building_elimination_best", "minimum_spanning_tree",
-    "convex_hull", "enclosing_rectangle", "regularize_building_rectangle",
+    "convex_hull", "enclosing_rectangle", "regularize_building_rectangle", "square_polygon_naive",
 ]
 
 
