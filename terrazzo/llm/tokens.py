@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -172,14 +173,31 @@ def _set(values: list[int]) -> np.ndarray:
 
 
 _STARTS, _ENDS = _set(_BLANK_START), _set(_BLANK_END)
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_CODES = np.array([_ALPHABET[b] for b in range(256)], "<u4")
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """Which bytes surely belong to a letter (of ASCII or the Latin-1 block), an ASCII digit or an ASCII mark; others are 0."""
+    out = _KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    after = raw[lead + 1]
+    lead = lead[(after >> 6 == 2) & (after != 0x97) & (after != 0xB7)]  # without the signs for times and divided by
+    out[lead] = out[lead + 1] = _LETTER
+    return out
 
 
 class Encoder:
     """Encodes texts with any file of the tokenizers library, without special tokens of its own.
 
-    Byte-level BPE with the library's own pattern cuts before every single space, so there a text is cut into pieces
-    and each distinct piece goes through the library's model once in a worker's life; pieces are remembered by their
-    bytes.  Texts in which a cut could matter (runs of white space around a space, added tokens), and all texts of
+    Byte-level BPE with the library's own pattern cuts before every single space, around a line feed between other
+    characters, and between a letter or digit and a mark after it, so there a text is cut into pieces; each new piece
+    goes through the library's model, and pieces are remembered by their bytes.  A piece of letters, of digits or of
+    marks alone is one word of the pattern, others are split by it.  Texts in which a cut could matter (runs of white space around a space, added tokens), and all texts of
     other kinds of tokenizer, are encoded whole.
     """
 
@@ -231,21 +249,26 @@ class Encoder:
 
     def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces, in order of their hashes, and merge them into what is known."""
-        sizes, out = [], []
-        for p in pieces:
-            n = len(out)
-            for w in self.cut.findall(p.decode()):
-                out += self._word(w)
-            sizes.append(len(out) - n)
-        size = np.array(sizes, np.int32)
-        while self.used + len(out) > len(self.ids):
+        body = np.frombuffer(b"".join(pieces), np.uint8)
+        b = np.cumsum([len(p) for p in pieces])
+        a = np.append(0, b[:-1])
+        kind, tokenize, found = _kinds(body), self.model.tokenize, []
+        change = np.zeros(len(body), np.int64)
+        change[1:] = np.cumsum(kind[1:] != kind[:-1])
+        first = np.minimum(a + (body[a] == 32), b - 1)
+        one = (kind[first] > 0) & (change[first] == change[b - 1])
+        text = _CODES[body].tobytes().decode("utf-32-le")
+        for p, i, j, is_one in zip(pieces, a.tolist(), b.tolist(), one.tolist(), strict=True):
+            found.append([t.id for t in tokenize(text[i:j])] if is_one else [x for w in self.cut.findall(p.decode()) for x in self._word(w)])
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        n = int(size.sum())
+        while self.used + n > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
-        self.ids[self.used : self.used + len(out)] = out
+        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
         place = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += len(out)
-        b = len(self.pool) + np.cumsum([len(p) for p in pieces])
-        a = np.append(len(self.pool), b[:-1])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.used += n
+        a, b = a + len(self.pool), b + len(self.pool)
+        self.pool = np.concatenate([self.pool, body])
         at = np.searchsorted(self.h, h)
         self.h, self.a, self.b = np.insert(self.h, at, h), np.insert(self.a, at, a), np.insert(self.b, at, b)
         self.place, self.size = np.insert(self.place, at, place), np.insert(self.size, at, size)
@@ -296,7 +319,12 @@ class Encoder:
         after = np.ones(n, bool)
         after[:-1] = _STARTS[raw[1:]]
         whole = self._whole(raw, offsets, space & before & ~begin[:n] & (after | finish[1:]))
-        s = np.flatnonzero(space | begin[:n])
+        kind = _kinds(raw)
+        cut = space | begin[:n]
+        cut[1:] |= (kind[1:] == _MARK) & ((kind[:-1] == _LETTER) | (kind[:-1] == _DIGIT))
+        feed = np.flatnonzero((raw == 10) & ~before & ~after & ~begin[:n] & ~finish[1:])
+        cut[feed] = cut[feed + 1] = True
+        s = np.flatnonzero(cut)
         row = np.searchsorted(offsets, s, "right") - 1
         e = np.append(s[1:], n)
         plain = ~whole[row]

@@ -165,6 +165,36 @@ def test_tokens(spark, docs, empty):
     assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(o, add_special_tokens=False).ids for o in odd]
 
 
+def test_token_pieces():
+    """A word is one piece whatever mark or line feed follows it, and plain pieces don't go through the pattern."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from terrazzo.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+
+    class Cut:
+        seen: list = []
+
+        def findall(self, text, pattern=enc.cut):
+            self.seen.append(text)
+            return pattern.findall(text)
+
+    enc.cut = Cut()
+
+    def encode(texts):
+        raw, offs = "".join(texts).encode(), np.cumsum([0, *(len(x.encode()) for x in texts)])
+        ids, counts = enc.encode(np.frombuffer(raw, np.uint8), offs)
+        assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    encode([" wörd wörd, wörd. wörd; wörd\n", " wörd\nwörd 12, 12."])
+    assert sorted(bytes(enc.pool[i:j]).decode() for i, j in zip(enc.a, enc.b, strict=True)) == ["\n", " 12", " wörd", " wörd\n", ",", ".", ";", "wörd"]
+    assert sorted(Cut.seen) == ["\n", " wörd\n"]
+    encode(["it's 'sold' don''t", "2× a×b ÷, Ã×", "1,2.3", "a\n\nb\n c\nd\n", "\na,", ",a\u00a0\nb", "\u0436, \u4e2d. e\u0301, \u00b2, x\u00b2,", ""])
+
+
 def test_rans_blocks():
     from terrazzo.llm import tokens
 
