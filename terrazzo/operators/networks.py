@@ -262,6 +262,18 @@ def detect_dual_carriageways(
     return f.where((F.col("concavity") > concavity) & (F.col("elongation") > elongation) & (F.col("width") < width))
 
 
+def segment_pairs(seg: DataFrame, cell: float) -> DataFrame:
+    """Segments ``(rid, seg, x1, y1, x2, y2)`` with others ``(o_rid, ...)`` of a common cell; of others alike the first four.
+
+    Four are enough to show that one is neither the segment nor beside it in its line.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    binned = lambda df: df.select("*", span(F.col("x1"), F.col("x2")).alias("cx")).select("*", span(F.col("y1"), F.col("y2")).alias("cy"))
+    copy = F.row_number().over(W.partitionBy("x1", "y1", "x2", "y2").orderBy("rid", "seg"))
+    other = binned(seg.withColumn("copy", copy).where("copy <= 4")).select("cx", "cy", *[F.col(c).alias("o_" + c) for c in seg.columns])
+    return binned(seg).join(other.hint("merge"), ["cx", "cy"]).where("rid <> o_rid or seg <> o_seg")
+
+
 def make_planar(lines: DataFrame, cell: float, digits: int = 6) -> DataFrame:
     """``lines`` cut wherever they cross, touch or overlap: a row for each piece, with ``planar_id`` from 0 within a line.
 
@@ -270,14 +282,14 @@ def make_planar(lines: DataFrame, cell: float, digits: int = 6) -> DataFrame:
     """
     xy = lambda p: F.struct(F.round(p.x, digits).alias("x"), F.round(p.y, digits).alias("y"))
     flat = lines.where("geom is not null and size(geom) > 1").select("rid", F.transform("geom", xy).alias("geom"))
+    # of lines alike all but the first lose their pieces to it: two of them cut each other and the rest as all would
+    copy = F.row_number().over(W.partitionBy("geom").orderBy("rid"))
+    flat = materialize(flat.withColumn("copy", copy).where("copy <= 2").drop("copy"), "lines")
     seg = flat.select("rid", F.posexplode(G.segments(F.col("geom"))).alias("seg", "s")).select(
         "rid", "seg", "s.x1", "s.y1", "s.x2", "s.y2"
     ).where("x1 <> x2 or y1 <> y2")
     seg = materialize(seg, "segments")
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
-    binned = seg.select("*", span(F.col("x1"), F.col("x2")).alias("cx")).select("*", span(F.col("y1"), F.col("y2")).alias("cy"))
-    other = binned.select("cx", "cy", *[F.col(c).alias("o_" + c) for c in seg.columns])
-    pair = binned.join(other, ["cx", "cy"]).where("rid <> o_rid or seg <> o_seg")
+    pair = segment_pairs(seg, cell)
     rx, ry = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     sx, sy = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
     wx, wy = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")

@@ -1,4 +1,4 @@
-"""Lineage cuts that survive lost executors, and size-checked broadcasts.
+"""Lineage cuts that survive lost executors, size-checked broadcasts, and spreading of small tables.
 
 Intermediate tables are Parquet in the shared folder named by ``spark.checkpoint.dir``.  Only where
 that setting is absent (tests, notebooks) a local folder is chosen.
@@ -48,3 +48,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     ``df`` should be materialised: it is counted here.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows to all cores by ``key``: a table of few bytes comes in few partitions, however much is computed from a row."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.functions.geometry import point
+from terrazzo.plans.durable import spread
 
 
 def points_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def ring_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossing_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level and upright lines 200 long, that cross, touch and overlap, from customers."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rid"))
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rid")), "rid")
     x, y = (F.col("rid") % 29) * 40.0, (F.floor(F.col("rid") / 29) % 31) * 40.0
     end = F.when(F.col("rid") % 2 == 0, point(x + 200, y)).otherwise(point(x, y + 200))
     return c.select("rid", F.array(point(x, y), end).alias("geom"))

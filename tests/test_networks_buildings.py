@@ -87,6 +87,20 @@ def test_planar(spark):
     assert networks.make_planar(net.limit(0), 4.0).count() == 0
 
 
+def test_planar_of_many_copies(spark):
+    """Copies of a line add no pairs beyond a few, and give the pieces of one."""
+    cross, there_and_back = [[(0, 0), (10, 0)], [(5, -5), (5, 5)]], [(0, 3), (4, 3), (0, 3), (4, 3)]
+    net = lambda n: lines(spark, *(cross * n), there_and_back)
+    pieces = lambda df: sorted((r.rid, r.planar_id, *((p.x, p.y) for p in r.geom)) for r in df.collect())
+    few, many = networks.make_planar(net(2), 4.0), networks.make_planar(net(60), 4.0)
+    once = lambda df: [r for r in pieces(df) if r[0] < 4]
+    assert once(few) == once(many)
+    assert {r[2:] for r in pieces(few)} == {r[2:] for r in pieces(many)} >= {((0, 0), (5, 0)), ((5, 0), (10, 0)), ((5, -5), (5, 0)), ((5, 0), (5, 5))}
+    assert networks.make_planar(lines(spark, there_and_back), 4.0).count() == 1
+    seg = spark.createDataFrame([(i, 0, 0.0, 0.0, 3.0, 0.0) for i in range(100)], "rid long, seg int, x1 double, y1 double, x2 double, y2 double")
+    assert networks.segment_pairs(seg, 4.0).count() <= 400
+
+
 def test_collapsed_roundabout(spark):
     ring = [(2, 0), (0, 2), (-2, 0), (0, -2)]
     edges = [[ring[i], ring[(i + 1) % 4]] for i in range(4)]
