@@ -521,5 +521,6 @@ def _middle(p: np.ndarray) -> np.ndarray:
 #: Batch functions by kernel.
 BATCHES: dict[Callable, Callable] = {
     K.catmull_rom: catmull_rom,
+    K.snake: snake,
 }
-RING = {K.catmull_rom}
+RING = {K.catmull_rom, K.snake}

@@ -52,5 +52,4 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deals rows to all cores by ``key``: a table of few bytes comes in few partitions, however much is computed from a row."""
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, 32), key)

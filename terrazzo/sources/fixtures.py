@@ -29,7 +29,7 @@ def lines_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def buildings_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles, every third cut to an L."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("rid"), F.col("p_size"))
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("rid"), F.col("p_size")), "rid")
     p = p.withColumn("cx", (F.col("rid") % 50) * 40.0).withColumn("cy", F.floor(F.col("rid") / 50) * 40.0).withColumn("w", 8 + F.col("p_size") * 0.3).withColumn("h", 6.0 + (F.col("rid") % 7) * 2)
     x = lambda k: F.col("cx") + F.col("w") * k
     y = lambda k: F.col("cy") + F.col("h") * k

@@ -9,6 +9,7 @@ from terrazzo.functions import kernels as K
 
 LINES = [
     (K.catmull_rom, {"subdivisions": 4}),
+    (K.snake, {}),
 ]
 RINGS = [
 ]
