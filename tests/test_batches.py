@@ -12,8 +12,9 @@ LINES = [
     (K.snake, {}),
 ]
 RINGS = [
+    (K.convex_hull, {}),
 ]
-MEASURES = []
+MEASURES = [K.elongation]
 
 
 def many_lines(seed: int) -> list[np.ndarray]:
