@@ -523,4 +523,4 @@ BATCHES: dict[Callable, Callable] = {
     K.catmull_rom: catmull_rom,
     K.snake: snake,
 }
-RING = {K.catmull_rom, K.snake}
+RING = {K.catmull_rom, K.snake, BK.square_corners}

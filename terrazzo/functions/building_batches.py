@@ -353,4 +353,5 @@ def surfacic_distances(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.nd
 BATCHES |= {
     K.convex_hull: convex_hull,
     K.elongation: elongation,
+    BK.square_corners: square_corners,
 }
