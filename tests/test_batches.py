@@ -13,6 +13,7 @@ LINES = [
 ]
 RINGS = [
     (K.convex_hull, {}),
+    (K.enclosing_rectangle, {}), (K.enclosing_rectangle, {"minimise": "width"}),
     (BK.square_corners, {}), (BK.square_corners, {"remove_flat": False}),
 ]
 MEASURES = [K.elongation]
