@@ -522,5 +522,6 @@ def _middle(p: np.ndarray) -> np.ndarray:
 BATCHES: dict[Callable, Callable] = {
     K.catmull_rom: catmull_rom,
     K.snake: snake,
+    K.platre: platre,
 }
 RING = {K.catmull_rom, K.snake, BK.square_corners}

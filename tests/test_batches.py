@@ -10,6 +10,7 @@ from terrazzo.functions import kernels as K
 LINES = [
     (K.catmull_rom, {"subdivisions": 4}),
     (K.snake, {}),
+    (K.platre, {}), (K.platre, {"max_curvature": 1.0}),
 ]
 RINGS = [
     (K.convex_hull, {}),
