@@ -355,4 +355,5 @@ BATCHES |= {
     K.enclosing_rectangle: enclosing_rectangle,
     K.elongation: elongation,
     BK.square_corners: square_corners,
+    BK.square_least_squares: square_least_squares,
 }
