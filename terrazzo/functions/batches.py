@@ -523,5 +523,6 @@ BATCHES: dict[Callable, Callable] = {
     K.catmull_rom: catmull_rom,
     K.snake: snake,
     K.platre: platre,
+    K.gaussian: gaussian,
 }
-RING = {K.catmull_rom, K.snake, BK.square_corners}
+RING = {K.catmull_rom, K.snake, K.gaussian, BK.square_corners}

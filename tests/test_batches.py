@@ -11,6 +11,7 @@ LINES = [
     (K.catmull_rom, {"subdivisions": 4}),
     (K.snake, {}),
     (K.platre, {}), (K.platre, {"max_curvature": 1.0}),
+    (K.gaussian, {"sigma": 15}), (K.gaussian, {"sigma": 2, "sample": 3.0}),
 ]
 RINGS = [
     (K.convex_hull, {}),
