@@ -355,5 +355,6 @@ BATCHES |= {
     K.enclosing_rectangle: enclosing_rectangle,
     K.elongation: elongation,
     BK.square_corners: square_corners,
+    BK.square_orthogonal: square_orthogonal,
     BK.square_least_squares: square_least_squares,
 }

@@ -17,6 +17,7 @@ RINGS = [
     (K.convex_hull, {}),
     (K.enclosing_rectangle, {}), (K.enclosing_rectangle, {"minimise": "width"}),
     (BK.square_corners, {}), (BK.square_corners, {"remove_flat": False}),
+    (BK.square_orthogonal, {}),
     (BK.square_least_squares, {}),
 ]
 MEASURES = [K.elongation]
