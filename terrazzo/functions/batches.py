@@ -524,5 +524,6 @@ BATCHES: dict[Callable, Callable] = {
     K.snake: snake,
     K.platre: platre,
     K.gaussian: gaussian,
+    K.wang_muller: wang_muller,
 }
 RING = {K.catmull_rom, K.snake, K.gaussian, BK.square_corners}
