@@ -91,6 +91,14 @@ def test_measures(kernel):
     assert np.allclose(batches.numbers(*flat(rings), kernel), [kernel(x) for x in rings], atol=1e-9)
 
 
+def test_bend_measures():
+    lines = [*many_lines(3), np.zeros((1, 2)), np.zeros((0, 2))]
+    counts, columns = batches.bend_measures(*flat(lines))
+    want = [K.bend_measures(x) if len(x) > 1 else [] for x in lines]
+    assert counts.tolist() == [len(x) for x in want]
+    assert np.allclose(np.column_stack(columns), np.array([b for x in want for b in x]), atol=1e-9)
+
+
 @pytest.mark.parametrize("kernel", [k for k in batches.BATCHES if k is not K.raposo], ids=lambda x: x.__name__)
 def test_lines_alike_are_not_taken_one_by_one(kernel, monkeypatch):
     """A batch function's own work doesn't grow with the lines: the kernel isn't called for any."""
