@@ -524,6 +524,8 @@ BATCHES: dict[Callable, Callable] = {
     K.snake: snake,
     K.platre: platre,
     K.gaussian: gaussian,
+    K.topographic: topographic,
+    K.angular: angular,
     K.wang_muller: wang_muller,
 }
-RING = {K.catmull_rom, K.snake, K.gaussian, BK.square_corners}
+RING = {K.catmull_rom, K.snake, K.gaussian, K.topographic, K.angular, BK.square_corners}
