@@ -527,5 +527,6 @@ BATCHES: dict[Callable, Callable] = {
     K.topographic: topographic,
     K.angular: angular,
     K.wang_muller: wang_muller,
+    K.accordion: accordion,
 }
 RING = {K.catmull_rom, K.snake, K.gaussian, K.topographic, K.angular, BK.square_corners}

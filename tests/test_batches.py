@@ -15,6 +15,7 @@ LINES = [
     (K.topographic, {}),
     (K.angular, {"angle": 40.0}),
     (K.wang_muller, {"tolerance": 15.0}),
+    (K.accordion, {"width": 5.0}), (K.accordion, {"width": 5.0, "sigma": 2.0}),
 ]
 RINGS = [
     (K.convex_hull, {}),
