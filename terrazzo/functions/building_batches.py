@@ -354,6 +354,7 @@ BATCHES |= {
     K.convex_hull: convex_hull,
     K.enclosing_rectangle: enclosing_rectangle,
     K.elongation: elongation,
+    K.regularize_rectangle: regularize_rectangle,
     BK.square_corners: square_corners,
     BK.square_orthogonal: square_orthogonal,
     BK.square_least_squares: square_least_squares,

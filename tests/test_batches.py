@@ -20,6 +20,7 @@ LINES = [
 RINGS = [
     (K.convex_hull, {}),
     (K.enclosing_rectangle, {}), (K.enclosing_rectangle, {"minimise": "width"}),
+    (K.regularize_rectangle, {"factor": 1.1}),
     (BK.square_corners, {}), (BK.square_corners, {"remove_flat": False}),
     (BK.square_orthogonal, {}),
     (BK.square_least_squares, {}),
