@@ -352,6 +352,7 @@ def surfacic_distances(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.nd
 
 BATCHES |= {
     K.convex_hull: convex_hull,
+    K.concavity: concavity,
     K.enclosing_rectangle: enclosing_rectangle,
     K.elongation: elongation,
     K.regularize_rectangle: regularize_rectangle,
