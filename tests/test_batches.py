@@ -103,6 +103,14 @@ def test_bend_measures():
     assert np.allclose(np.column_stack(columns), np.array([b for x in want for b in x]), atol=1e-9)
 
 
+def test_surfacic_distances():
+    rings = [x for x in many_rings(4) if (x[0] == x[-1]).all()]
+    others = [x + (k % 5) * 2.0 for k, x in enumerate(rings)]
+    others = [x if k % 6 else rings[k - 1] for k, x in enumerate(others)]
+    got = building_batches.surfacic_distances(*flat(rings), *flat(others))
+    assert np.allclose(got, [BK.surfacic_distance(a, b) for a, b in zip(rings, others, strict=True)], atol=1e-9)
+
+
 @pytest.mark.parametrize("kernel", [k for k in batches.BATCHES if k is not K.raposo], ids=lambda x: x.__name__)
 def test_lines_alike_are_not_taken_one_by_one(kernel, monkeypatch):
     """A batch function's own work doesn't grow with the lines: the kernel isn't called for any."""
