@@ -359,4 +359,5 @@ BATCHES |= {
     BK.square_corners: square_corners,
     BK.square_orthogonal: square_orthogonal,
     BK.square_least_squares: square_least_squares,
+    BK.min_width: min_width,
 }

@@ -25,7 +25,7 @@ RINGS = [
     (BK.square_orthogonal, {}),
     (BK.square_least_squares, {}),
 ]
-MEASURES = [K.concavity, K.elongation]
+MEASURES = [K.concavity, K.elongation, BK.min_width]
 
 
 def many_lines(seed: int) -> list[np.ndarray]:
