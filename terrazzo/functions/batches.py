@@ -524,6 +524,7 @@ BATCHES: dict[Callable, Callable] = {
     K.snake: snake,
     K.platre: platre,
     K.gaussian: gaussian,
+    K.resample: resample,
     K.topographic: topographic,
     K.angular: angular,
     K.wang_muller: wang_muller,

@@ -12,6 +12,7 @@ LINES = [
     (K.snake, {}),
     (K.platre, {}), (K.platre, {"max_curvature": 1.0}),
     (K.gaussian, {"sigma": 15}), (K.gaussian, {"sigma": 2, "sample": 3.0}),
+    (K.resample, {"step": 7.0}), (K.resample, {"step": 2.5, "keep_vertices": True}),
     (K.topographic, {}),
     (K.angular, {"angle": 40.0}),
     (K.wang_muller, {"tolerance": 15.0}),
