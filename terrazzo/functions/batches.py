@@ -527,6 +527,7 @@ BATCHES: dict[Callable, Callable] = {
     K.resample: resample,
     K.topographic: topographic,
     K.angular: angular,
+    K.douglas_peucker: douglas_peucker,
     K.wang_muller: wang_muller,
     K.accordion: accordion,
 }

@@ -15,6 +15,7 @@ LINES = [
     (K.resample, {"step": 7.0}), (K.resample, {"step": 2.5, "keep_vertices": True}),
     (K.topographic, {}),
     (K.angular, {"angle": 40.0}),
+    (K.douglas_peucker, {"threshold": 10.0}),
     (K.wang_muller, {"tolerance": 15.0}),
     (K.accordion, {"width": 5.0}), (K.accordion, {"width": 5.0, "sigma": 2.0}),
 ]
