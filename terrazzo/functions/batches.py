@@ -528,6 +528,7 @@ BATCHES: dict[Callable, Callable] = {
     K.topographic: topographic,
     K.angular: angular,
     K.douglas_peucker: douglas_peucker,
+    K.raposo: raposo,
     K.wang_muller: wang_muller,
     K.accordion: accordion,
 }

@@ -16,6 +16,7 @@ LINES = [
     (K.topographic, {}),
     (K.angular, {"angle": 40.0}),
     (K.douglas_peucker, {"threshold": 10.0}),
+    (K.raposo, {"initial_scale": 25000, "final_scale": 50000}), (K.raposo, {"initial_scale": 1, "final_scale": 2, "use_centroid": False}),
     (K.wang_muller, {"tolerance": 15.0}),
     (K.accordion, {"width": 5.0}), (K.accordion, {"width": 5.0, "sigma": 2.0}),
 ]
