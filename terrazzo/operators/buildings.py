@@ -131,11 +131,12 @@ def typification_grid(buildings: DataFrame, ratio: float, cell: float = 500.0) -
     """``(rid, ci, cj, keep)``: per cell of ``cell`` units the ``max(1, round(n * ratio))`` largest buildings stay."""
     from pyspark.sql import Window as W
 
-    c = buildings.withColumn("__p", G.centroid(F.col("geom"))).withColumn("ci", F.floor(F.col("__p.x") / cell)).withColumn("cj", F.floor(F.col("__p.y") / cell))
-    c = c.withColumn("area", G.area(F.col("geom")))
-    n = c.groupBy("ci", "cj").agg(F.greatest(F.lit(1), F.bround(F.count("*") * ratio).cast("int")).alias("target"))
-    r = F.row_number().over(W.partitionBy("ci", "cj").orderBy(F.desc("area"), "rid"))
-    return c.withColumn("r", r).join(n, ["ci", "cj"]).select("rid", "ci", "cj", (F.col("r") <= F.col("target")).alias("keep"))
+    c = buildings.select("rid", G.centroid(F.col("geom")).alias("p"), G.area(F.col("geom")).alias("area"))
+    c = c.select("rid", F.floor(F.col("p.x") / cell).alias("ci"), F.floor(F.col("p.y") / cell).alias("cj"), "area")
+    # no join: its keys' null checks would be pushed down to the table, the geometry spelt out in every lambda
+    by = W.partitionBy("ci", "cj")
+    c = c.withColumn("n", F.count("ci").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("area"), "rid"))).where("n > 0")
+    return c.select("rid", "ci", "cj", (F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * ratio).cast("int"))).alias("keep"))
 
 
 def building_congestion(edges: DataFrame, max_distance: float, orientations: int = 16) -> DataFrame:

@@ -35,7 +35,8 @@ def buildings_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = lambda k: F.col("cy") + F.col("h") * k
     box = F.array(point(x(-0.5), y(-0.5)), point(x(0.5), y(-0.5)), point(x(0.5), y(0.5)), point(x(-0.5), y(0.5)), point(x(-0.5), y(-0.5)))
     ell = F.array(point(x(-0.5), y(-0.5)), point(x(0.5), y(-0.5)), point(x(0.5), y(0.0)), point(x(0.0), y(0.0)), point(x(0.0), y(0.5)), point(x(-0.5), y(0.5)), point(x(-0.5), y(-0.5)))
-    return p.select("rid", F.when(F.col("rid") % 3 == 0, ell).otherwise(box).alias("geom"))
+    # exploded, so that filters on what is computed from it aren't pushed down with the whole expression in each of their lambdas
+    return p.select("rid", F.explode(F.array(F.when(F.col("rid") % 3 == 0, ell).otherwise(box))).alias("geom"))
 
 
 def roads_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
