@@ -1,4 +1,7 @@
-"""Spatial joins on grid bins: equi-joins on cell ids, so that no pair outside neighbouring cells is ever formed."""
+"""Spatial joins on grid bins: equi-joins on cell ids, so that no pair outside neighbouring cells is ever formed.
+
+Sides are never broadcast: Spark takes a table's few bytes for its size, not the rows and geometries made from it.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataF
     b = right.select(F.col("rid").alias("r_rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), _around(cell_of(F.col("x"), distance)).alias("cx"), cell_of(F.col("y"), distance).alias("c"))
     b = b.select("r_rid", "rx", "ry", "cx", _around(F.col("c")).alias("cy"))
     d = F.sqrt((F.col("lx") - F.col("rx")) * (F.col("lx") - F.col("rx")) + (F.col("ly") - F.col("ry")) * (F.col("ly") - F.col("ry")))
-    return a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).select("l_rid", "r_rid", "d")
+    return a.join(b.hint("merge"), ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).select("l_rid", "r_rid", "d")
 
 
 def self_pairs(points: DataFrame, distance: float) -> DataFrame:
@@ -67,7 +70,7 @@ def boxes_intersect(left: DataFrame, right: DataFrame, cell: float) -> DataFrame
         out = out.withColumn("cx", F.explode(F.sequence(cell_of(F.col(p + "xmin"), cell), cell_of(F.col(p + "xmax"), cell))))
         return out.withColumn("cy", F.explode(F.sequence(cell_of(F.col(p + "ymin"), cell), cell_of(F.col(p + "ymax"), cell))))
 
-    met = binned(left, "l_").join(binned(right, "r_"), ["cx", "cy"]).where("l_xmin <= r_xmax and r_xmin <= l_xmax and l_ymin <= r_ymax and r_ymin <= l_ymax")
+    met = binned(left, "l_").join(binned(right, "r_").hint("merge"), ["cx", "cy"]).where("l_xmin <= r_xmax and r_xmin <= l_xmax and l_ymin <= r_ymax and r_ymin <= l_ymax")
     own = (F.col("cx") == cell_of(F.greatest("l_xmin", "r_xmin"), cell)) & (F.col("cy") == cell_of(F.greatest("l_ymin", "r_ymin"), cell))
     return met.where(own).select("l_rid", "r_rid")
 
@@ -88,5 +91,5 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, edges: boo
     box = box.withColumn("cx", F.explode(F.sequence(cell_of(F.col("b.xmin"), cell), cell_of(F.col("b.xmax"), cell))))
     box = box.withColumn("cy", F.explode(F.sequence(cell_of(F.col("b.ymin"), cell), cell_of(F.col("b.ymax"), cell))))
     p = points.select("rid", "x", "y", cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy"))
-    met = p.join(box, ["cx", "cy"]).where("x >= b.xmin and x <= b.xmax and y >= b.ymin and y <= b.ymax")
+    met = p.join(box.hint("merge"), ["cx", "cy"]).where("x >= b.xmin and x <= b.xmax and y >= b.ymin and y <= b.ymax")
     return met.where((G.covers_point if edges else G.contains_point)(F.col("ring"), F.col("x"), F.col("y"))).select("rid", "ring_id")

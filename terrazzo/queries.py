@@ -410,7 +410,7 @@ def _proximity(s, d) -> DataFrame:
     b = X.buildings_from_parts(s, d).select("rid", F.element_at("geom", 1).alias("p")).select("rid", "p.x", "p.y")
     e = spatial.self_pairs(b, 45.0)
     e = e.select(F.col("l_rid").alias("rid"), F.col("r_rid").alias("other")).union(e.select("r_rid", "l_rid"))
-    e = e.join(b.withColumnsRenamed({"x": "x1", "y": "y1"}), "rid").join(b.select(F.col("rid").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")), "other")
+    e = e.join(b.withColumnsRenamed({"x": "x1", "y": "y1"}).hint("merge"), "rid").join(b.select(F.col("rid").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")).hint("merge"), "other")
     return e.withColumn("to_building", F.lit(True))
 
 

@@ -86,3 +86,18 @@ def test_sample_is_alike_in_every_partitioning(spark):
     rows = spark.range(5000).withColumnRenamed("id", "rid")
     one, two = (sorted(r.rid for r in vector.seeded_sample(d, "rid", 0.2, 5).collect()) for d in (rows, rows.repartition(7)))
     assert one == two and 800 < len(one) < 1200
+
+
+def test_spatial_joins_broadcast_no_side(spark):
+    """What a small table is made into may be large: a broadcast would go through the driver."""
+    import __spark_entry__ as entry
+    from terrazzo.plans import spatial
+    from terrazzo.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    box = spark.range(9).selectExpr("id as rid", "id * 1.0 as xmin", "0.0 as ymin", "id + 1.5 as xmax", "1.0 as ymax")
+    points = fixtures.points_from_events(spark, sf)
+    queries = [spatial.self_pairs(points, 5.0), spatial.boxes_intersect(box, box, 2.0), *(entry.queries()[q](spark, sf) for q in ("points_in_rings", "building_congestion"))]
+    for df in queries:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
