@@ -101,3 +101,28 @@ def test_spatial_joins_broadcast_no_side(spark):
     for df in queries:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_flows_of_sorted_sums_are_those_of_pairs(spark):
+    """Thresholds are met as differences round; a group of 100,000 takes no pairs."""
+    import time
+
+    import numpy as np
+    from terrazzo.operators import mcda
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.integers(0, 30, 200) / 10, r.normal(size=50), [np.nan]])
+    for f in (mcda.usual(), mcda.u_shape(0.3), mcda.v_shape(0.7), mcda.level(0.7, 0.1), mcda.level(0.2, 0.4), mcda.linear(0.7, 0.1), mcda.linear(0.1, 0.7), mcda.linear(0.4, 0.4)):
+        def value(d, f=f):
+            return next(a * d + c if a else c for b, a, c in f.pieces if d <= b)
+
+        want = [sum(value(a - b) - value(b - a) for b in x if b == b) if a == a else 0.0 for a in x]
+        assert np.allclose(mcda.net_flow(x, f.pieces), want, atol=1e-9)
+    rows = spark.createDataFrame([(1, i, float(i * 37 % 101) / 100, float(i % 3)) for i in range(120)], "g int, rid long, a double, b double")
+    terms = [("a", mcda.linear(0.7, 0.1), 0.6), ("b", mcda.usual(), 0.4)]
+    got = {r.rid: r.phi for r in mcda._flows(rows, "g", "rid", terms).collect()}
+    want = {r.rid: r.phi for r in mcda._flows_by_pairs(rows, "g", "rid", terms).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=1e-12)
+    t = time.time()
+    mcda.net_flow(r.normal(size=100_000), mcda.linear(0.7, 0.1).pieces)
+    assert time.time() - t < 20
