@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .durable import discard, materialize
+
 
 def cell_of(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size))).cast("long")
@@ -36,27 +38,46 @@ def self_pairs(points: DataFrame, distance: float) -> DataFrame:
     return within_distance(points, points, distance).where("l_rid < r_rid")
 
 
+def dense_reach(points: DataFrame, cell: float, crowd: float = 16.0) -> float:
+    """``cell``, halved until a point shares its cell with at most ``crowd`` on average, itself counted."""
+    reach, was = float(cell), float("inf")
+    for _ in range(40):
+        n = points.groupBy(cell_of(F.col("x"), reach), cell_of(F.col("y"), reach)).agg(F.count("*").cast("double").alias("n"))
+        shared = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+        if shared <= crowd or (shared <= 16 * crowd and shared > 0.9 * was):
+            break
+        reach, was = reach / 2, shared
+    return reach
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, exclude_self: bool = False) -> DataFrame:
     """``(l_rid, rank, r_rid, d)``: the ``k`` nearest right points of each left point; ties to the smaller ``r_rid``.
 
-    Rings of cells are searched by doubling reach, until every left point has ``k`` points nearer than the reach or the
-    reach spans the extent.  Only unfinished points go on.
+    Rings of cells are searched by doubling reach, from ``cell`` or less where points are dense, until every left point
+    has ``k`` points nearer than the reach or the reach spans the extent.  Only unfinished points go on.  Of right
+    points at one place only as many as can be asked for are compared.
     """
     ext = left.select("x", "y").union(right.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     span = max(float(ext[0] or 0), float(ext[1] or 0), float(cell))
-    todo, reach, done = left, float(cell), None
+    place = F.row_number().over(W.partitionBy("x", "y").orderBy("rid"))
+    right = materialize(right.select("rid", "x", "y").withColumn("n", place).where(F.col("n") <= k + int(exclude_self)).drop("n"), "right")
+    todo, reach, done = left.select("rid", "x", "y"), dense_reach(right, cell), None
     while True:
-        found = within_distance(todo, right, reach)
+        # the unfinished are put in the nine cells around theirs, as they soon are few
+        found = within_distance(right, todo, reach).select(F.col("r_rid").alias("l_rid"), F.col("l_rid").alias("r_rid"), "d")
         if exclude_self:
             found = found.where("l_rid <> r_rid")
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("l_rid").orderBy("d", "r_rid"))).where(F.col("rank") <= k)
+        ranked = materialize(ranked.select("l_rid", "rank", "r_rid", "d"), "ranked")
         last = reach > 1.5 * span
-        full = ranked.groupBy("l_rid").agg(F.count("*").alias("n")).where(F.lit(last) | (F.col("n") >= k)).select("l_rid")
-        part = ranked.join(full, "l_rid", "left_semi").select("l_rid", "rank", "r_rid", "d")
+        full = ranked.where(F.col("rank") == k).select("l_rid")
+        part = ranked if last else ranked.join(full, "l_rid", "left_semi")
         done = part if done is None else done.union(part)
         if last:
             return done
-        todo = todo.join(full, todo.rid == full.l_rid, "left_anti")
+        rest = materialize(todo.join(full, todo.rid == full.l_rid, "left_anti"), "todo")
+        discard(todo)
+        todo = rest
         if todo.limit(1).count() == 0:
             return done
         reach *= 2

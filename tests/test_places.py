@@ -126,3 +126,19 @@ def test_flows_of_sorted_sums_are_those_of_pairs(spark):
     t = time.time()
     mcda.net_flow(r.normal(size=100_000), mcda.linear(0.7, 0.1).pieces)
     assert time.time() - t < 20
+
+
+def test_nearest_of_crowded_points(spark):
+    """Against brute force; crowded cells are made smaller, and copies of a place are left out beyond those asked for."""
+    import numpy as np
+    from terrazzo.plans import spatial
+
+    r = np.random.default_rng(2)
+    xy = np.concatenate([r.normal(size=(300, 2)), r.integers(0, 3, (100, 2)) * 50.0, [[900.0, 900.0]]])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "rid long, x double, y double")
+    got = sorted((r.l_rid, r.rank, r.r_rid) for r in spatial.nearest(p, p, 3, 40.0, exclude_self=True).collect())
+    d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+    want = [(i, k + 1, j) for i in range(len(xy)) for k, j in enumerate(sorted((j for j in range(len(xy)) if j != i), key=lambda j: (d[i, j], j))[:3])]
+    assert got == want
+    even = spark.range(40_000).selectExpr("id as rid", "(id % 200) * 0.2 as x", "(id div 200) * 0.2 as y")
+    assert spatial.dense_reach(even, 40.0) < 1
